@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.llm.common import cut
 from gapline.llm.packing import slices
 
 BUCKETS = 4096
-CHUNK = 4_000_000
-ROWS = 512
+CHUNK = 1_500_000
+ROWS = 256
 RATE_WEIGHT = 1.5
 #: Of each UTF-8 byte: 1 symbols, 2 capitals (ASCII), 3 digits, 0 the rest.
 KINDS = np.array([3 if 48 <= b <= 57 else 2 if 65 <= b <= 90 else 1 if 33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in ".,'" else 0 for b in range(256)])
@@ -83,10 +84,19 @@ def _blocks(texts):
         i = j
 
 
-def fit(rows: DataFrame, per_label: int = 1500, dims: int = 64, k: int = 25) -> dict | None:
-    """A model from ``text`` and ``label`` (0 or 1) of at most ``per_label`` rows of each label; None without labelled rows."""
-    rows = rows.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    parts = [rows.where(F.col("label") == v).orderBy(F.xxhash64("text"), "text").limit(per_label).toArrow() for v in (0, 1)]
+def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", per_label: int = 1500, dims: int = 64, k: int = 25) -> dict | None:
+    """A model from at most ``per_label`` documents of each label (0 or 1), or None without labelled documents.
+
+    ``documents``: ``doc_id`` and ``text``; ``labels``: ``doc_id`` and ``column``, the largest of repeated labels holds. Ids are chosen first, by
+    hash and without texts, so only the chosen texts move.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    ids = cut(documents.where("text is not null").select("doc_id").join(marks.where("label in (0, 1)"), "doc_id").distinct())
+    parts = []
+    for v in (0, 1):
+        few = ids.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+        parts.append(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("doc_id").toArrow())
     texts = [t for p in parts for t in p.column("text").to_pylist()]
     label = np.array([v for p in parts for v in p.column("label").to_pylist()], np.float32)
     if not texts:
@@ -140,9 +150,3 @@ def score(documents: DataFrame, model: dict | None, threshold: float = 0.3) -> D
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(out), pa.array((out >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
-
-
-def labelled(documents: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
-    """``text`` and ``label`` of the documents that ``labels`` covers; of repeated labels the largest holds."""
-    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
-    return documents.select("doc_id", "text").join(marks, "doc_id").select("text", "label")

@@ -56,7 +56,7 @@ def op4_url_filter(spark, sf_dir):
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"), 5, 0)
-    model = quality.fit(quality.labelled(docs.where(~out), table(spark, sf_dir, "labels")))
+    model = quality.fit(docs.where(~out), table(spark, sf_dir, "labels"))
     return quality.score(docs.select("doc_id", "text"), model, 0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
