@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out what the classifier rejects; it learns from the labelled rows of ``docs``."""
-    model = quality.fit(quality.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(COLUMNS), model, 0.3).where("predicted = 1").select(COLUMNS)
 
 
