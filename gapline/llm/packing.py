@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import itertools
+import json
 import os
+import re
 import sys
 import types
 import zlib
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 #: Bytes of text that are tokenised at a time, and words that a worker remembers.
-CHUNK_BYTES, CACHE_WORDS, POOL_TOKENS = 8_000_000, 300_000, 1_500_000
+CHUNK_BYTES, CACHE_WORDS, POOL_TOKENS = 4_000_000, 700_000, 1_500_000
 
 
 def worker_store() -> types.ModuleType:
@@ -37,15 +38,110 @@ def worker_store() -> types.ModuleType:
     return sys.modules.setdefault("gapline_worker_store", types.ModuleType("gapline_worker_store"))
 
 
-def load_tokenizer(data: bytes):
-    """A tokenizers file's content as ``(tokenizer, remembered words)``, once per worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordCoder:
+    """Ids of words by a tokenizers file, each different word encoded once while it is remembered.
 
+    New words of ASCII and Latin-1 letters are lower-cased and cut here as the file's normaliser and pre-tokenizer do, and
+    only their parts go to the file's model. All other words go through the whole tokenizer, many at a time, as one text with
+    a separator between them that is a token of its own; words that hold the separator or a special token go alone.
+    A file of another kind than the one this knows always takes the second way.
+    """
+
+    SEPARATOR = "\x02"
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    # Fixed value: the file's pre-tokenizer on lower-cased plain words.
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    NORMALISER = ["NFC", "Replace", "Lowercase"]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, data: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        text = data.decode("utf-8")
+        self.tokenizer = Tokenizer.from_str(text)
+        self.model = self.tokenizer.model
+        self.mark = self.ids(self.SEPARATOR)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        known = json.loads(text)
+        steps = [n["type"] for n in (known.get("normalizer") or {}).get("normalizers", [])]
+        cutter = ((known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.direct = steps == self.NORMALISER and cutter.get("pattern", {}).get("Regex") == self.SPLIT
+        # a byte's character in a byte-level vocabulary
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {b: level.pre_tokenize_str(chr(b))[0][0][-1] if b < 128 else None for b in range(128)}
+        for c in map(chr, range(0xC0, 0x100)):
+            for b, x in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+                self.bytes[b] = x
+        self.bytes = {b: x for b, x in self.bytes.items() if x and ord(x) != b}
+        self.forget()
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.short: dict[str, list[int]] = {}
+        self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def part(self, x: str) -> list[int]:
+        if (got := self.short.get(x)) is None:
+            raw = x if x.isascii() and x.isalpha() else x.encode().decode("latin-1").translate(self.bytes)
+            got = [t.id for t in self.model.tokenize(raw)]
+            if len(x) <= 4:
+                self.short[x] = got
+        return got
+
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.PLAIN.fullmatch(w) and "<|" not in w] if self.direct else []
+        flat: list[int] = []
+        sizes = []
+        for w in plain:
+            n = len(flat)
+            for x in self.PARTS.findall(w.lower()):
+                flat += self.part(x)
+            sizes.append(len(flat) - n)
+        pools, counts = [np.array(flat, np.uint32)], [np.array(sizes, np.int64)]
+        if len(plain) < len(words):
+            done = set(plain)
+            rest = [w for w in words if w not in done]
+            odd = {w for w in rest if len(self.mark) != 1 or any(x in w for x in (self.SEPARATOR, *self.special))}
+            many, alone = [w for w in rest if w not in odd], [w for w in rest if w in odd]
+            for i in range(0, len(many), 4096):
+                part = many[i : i + 4096]
+                got = np.array(self.ids(f" {self.SEPARATOR} ".join(part)), np.uint32)
+                cuts = np.flatnonzero(got == self.mark[0])
+                if len(cuts) != len(part) - 1:
+                    raise ValueError("the separator does not stand alone in this vocabulary")
+                counts.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+                pools.append(got[got != self.mark[0]])
+            for w in alone:
+                pools.append(np.array(self.ids(w), np.uint32))
+                counts.append(np.array([len(pools[-1])]))
+            plain = [*plain, *many, *alone]
+        size = np.concatenate(counts)
+        start = len(self.pool) + np.cumsum(size) - size
+        self.known.update(zip(plain, range(len(self.first), len(self.first) + len(plain)), strict=True))
+        self.first, self.size, self.pool = np.concatenate([self.first, start]), np.concatenate([self.size, size]), np.concatenate([self.pool, *pools])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where each word's ids are: positions in ``first`` and ``size``."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = words
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+def load_tokenizer(data: bytes) -> WordCoder:
+    """The coder of a tokenizers file's content, once per worker."""
     store = worker_store()
-    key = "tokenizer_" + hashlib.md5(data).hexdigest()
+    key = "coder_" + hashlib.md5(data).hexdigest()
     if not hasattr(store, key):
-        setattr(store, key, (Tokenizer.from_str(data.decode("utf-8")), {}))
+        setattr(store, key, WordCoder(data))
     return getattr(store, key)
 
 
@@ -59,27 +155,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
         i = j
 
 
-def encode_texts(texts: pa.Array, tokenizer, known: dict, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, coder: WordCoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, ``end_id`` after each, and where each text's ids end.
 
     This tokenizer drops white space and never joins over it, so a text's ids are those of its words between ASCII white
-    space; each different word is encoded once.
+    space.
     """
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
     coded = pc.dictionary_encode(words.flatten())
-    names = coded.dictionary.to_pylist()
-    new = [w for w in names if w not in known]
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = names
-    known.update(zip(new, (tuple(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    parts = [known[w] for w in names]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter(itertools.chain(itertools.chain.from_iterable(parts), (end_id,)), np.uint32, int(size.sum()) + 1)
-    size = np.append(size, 1)
-    first = np.cumsum(size) - size
-    at = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(parts))
+    at = coder.places(coded.dictionary.to_pylist())
+    # one place more, for the end of a text
+    first, size = np.append(coder.first[at], len(coder.pool)), np.append(coder.size[at], 1)
+    flat = np.append(coder.pool, np.uint32(end_id))
+    at = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(first) - 1)
     long = size[at]
     done = np.cumsum(long)
     ids = flat[np.repeat(first[at] - (done - long), long) + np.arange(int(done[-1]) if len(done) else 0)]
@@ -184,11 +273,11 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tupl
     shared = documents.sparkSession.sparkContext.broadcast(data)
 
     def run(batches):
-        tokenizer, known = load_tokenizer(shared.value)
+        coder = load_tokenizer(shared.value)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, ends = encode_texts(b.column("text"), tokenizer, known, end_id)
+                ids, ends = encode_texts(b.column("text"), coder, end_id)
                 at = 0
                 for doc, to in zip(b.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                     packer.add(doc, ids[at:to])
