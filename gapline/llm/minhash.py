@@ -9,8 +9,9 @@ Equal texts collapse first, to the one with the smallest id. Then, over differen
 
 1. Every text of a band's bucket is compared with one pivot of the bucket, a text chosen by hash, another in each band; links
    are verified on the whole texts. The components of these links absorb groups of many copies at linear cost.
-2. Of the buckets that still hold texts of several components, all pairs of texts in different components are screened
-   by their signatures, in blocks of ``block`` texts, and those that may reach the threshold are verified like the first.
+2. In the buckets that still hold texts of several components, all pairs of texts in different components are screened by
+   their signatures, in blocks of ``block`` texts or so many bytes, and those that may reach the threshold are verified on the
+   whole texts, likeliest first, until the two components have met. A task returns the links that join components.
 
 No step lists the pairs of a bucket, and no task holds a bucket.
 """
@@ -30,10 +31,11 @@ from gapline.llm.packing import slices
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: A pair is verified in step 2 if its signatures agree in at least the threshold less this (over four standard deviations).
 SLACK = 0.16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+TILE_BYTES = 2_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -162,26 +164,53 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(n, threshold), "a long, b long")
 
 
-def _screen(threshold):
+def _tile(n, threshold):
     need = int(np.ceil((threshold - SLACK) * REGISTERS))
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+        bucket, i, j = (k.as_py() for k in key)
         part, ids, comp = (table.column(c).to_numpy() for c in ("part", "doc_id", "comp"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, REGISTERS)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        out = []
+        found = []
         for x in left:
             y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= need]
-            out.append(np.column_stack([np.full(len(y), ids[x]), ids[y]]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs.max(axis=1)), "b": pa.array(pairs.min(axis=1))}) if len(pairs) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            agree = (sig[y] == sig[x]).sum(axis=1)
+            # two texts are compared in the first bucket that they share
+            ok = (agree >= need) & ((bands[y] == bands[x]).argmax(axis=1) == band)
+            found.append(np.column_stack([agree[ok], np.full(int(ok.sum()), x), y[ok]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        links = []
+        if len(pairs):
+            texts = table.column("text").combine_chunks()
+            rows, at = np.unique(pairs[:, 1:], return_inverse=True)
+            doc, sh, w = shingles(texts.take(pa.array(rows)), n)
+            ends = np.searchsorted(doc, np.arange(len(rows) + 1))
+            sets = [(sh[p:q], w[p:q]) for p, q in zip(ends[:-1], ends[1:], strict=True)]
+            names, group = np.unique(comp[rows], return_inverse=True)
+            root = list(range(len(names)))
+
+            def top(g):
+                while root[g] != g:
+                    root[g] = g = root[root[g]]
+                return g
+
+            at = at.reshape(-1, 2)
+            for k in np.argsort(-pairs[:, 0], kind="stable"):  # likeliest first; components that met here need no more links
+                x, y = at[k]
+                g, h = top(int(group[x])), top(int(group[y]))
+                if g != h and similarity(*sets[x], *sets[y]) >= threshold:
+                    root[max(g, h)] = min(g, h)
+                    links.append((ids[rows[x]], ids[rows[y]]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the smallest id of its group) and ``kept`` (the one of that id).
 
     A group is what links join: equal texts, and texts whose weighted shingles have a probability Jaccard similarity of at
@@ -205,12 +234,13 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, bl
     links = cut(verified(pairs, some, n, threshold))
     roots = cut(components(links))
     placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
-    rest = placed.join(mixed.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "key").join(texts.select("doc_id", "sig"), "doc_id")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    members = cut(placed.join(mixed.select("key"), "key").join(some.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int")
+    rest = members.join(members.groupBy("key").agg(size.alias("blocks")), "key").join(texts.select("doc_id", "sig", "bands"), "doc_id").join(some, "doc_id")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "comp", "sig")
-    more = cut(rest.groupBy("key", "i", "j").applyInArrow(_screen(threshold), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(cut(verified(more, some, n, threshold)))
+    rest = rest.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "comp", "sig", "bands", "text")
+    links = links.unionByName(cut(rest.groupBy("key", "i", "j").applyInArrow(_tile(n, threshold), "a long, b long")))
     groups = components(links).withColumnRenamed("node", "doc_id")
     named = texts.select("digest", "doc_id").join(groups, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
     out = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
