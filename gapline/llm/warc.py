@@ -27,6 +27,8 @@ from gapline.llm.common import cut
 
 EPOCH = datetime.datetime(2020, 1, 1)
 BROADCAST_REVISITS = 500_000
+#: For the Parquet table of archives: small row groups and pages, or its writer and reader hold many archives at a time.
+LARGE_VALUES = {"compression": "none", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 INDEX = "url_key string, captured string, page_id long, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 NAMES = [c.split()[0] for c in INDEX.split(", ")]
 TYPES = {"string": pa.string(), "long": pa.int64()}
@@ -200,7 +202,7 @@ def _merge(batches):
     yield _batch(out)
 
 
-def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 8_000_000) -> DataFrame:
+def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 1_000_000) -> DataFrame:
     """The written table of archives: ``archive`` (name) and ``data`` (the bytes of a ``.warc.gz`` file).
 
     ``pages``: ``page_id``, ``url``, ``html``; others are ignored. Null html is an empty payload.
@@ -212,7 +214,8 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 8_00
     revisits = cut(index.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct())
     side = F.broadcast(revisits) if revisits.count() <= BROADCAST_REVISITS else revisits
     rows = rows.join(side, ["page_id", "digest"], "left")
-    return cut(rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_write(archive_bytes), "archive string, data binary"))
+    written = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_write(archive_bytes), "archive string, data binary")
+    return cut(written, **LARGE_VALUES)
 
 
 def capture_runs(archives: DataFrame) -> DataFrame:
@@ -225,7 +228,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, INDEX)
 
 
-def captures(pages: DataFrame, least: int = 100, archive_bytes: int = 8_000_000) -> DataFrame:
+def captures(pages: DataFrame, least: int = 100, archive_bytes: int = 1_000_000) -> DataFrame:
     """Write the pages' archives, read them back and return the merged index, one entry per page row.
 
     Columns: ``url_key``, ``captured``, ``page_id``, ``url`` (as read), ``archive``, ``offset``, ``length``, ``payload_bytes``,
