@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapline.llm.common import cut
 from gapline.llm.packing import slices
 
 BITS, ORDER, ALPHABET = 12, 5, 4000
 EDGE, OTHER = 0, 1  # classes of characters: text edges and all that is no letter, rare letters
-CHUNK = 6_000_000
+CHUNK = 1_500_000
 
 
 def held_out(id_col: Column, modulus: int, rest: int) -> Column:
@@ -78,7 +79,7 @@ def _count(classes):
                     coded = pa.array(gram.view(np.int64)).value_counts()
                     held.setdefault(lang, []).append((coded.field(0).to_numpy(), coded.field(1).to_numpy()))
                     size += len(coded)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield from _sums(held)
                     held, size = {}, 0
         yield from _sums(held)
@@ -164,9 +165,12 @@ def train(rows: DataFrame, floor: float = 2e-6, calibration: int = 2000) -> dict
     """Models from ``text`` and ``lang`` of all rows where both are there; None if there are none."""
     rows = rows.where("text is not null and lang is not null").select("text", F.col("lang").cast("string"))
     sc = rows.sparkSession.sparkContext
-    first = rows.orderBy(F.xxhash64("text"), "lang").limit(calibration).toArrow()
-    if not first.num_rows:
+    # different texts with the smallest hashes: the hashes alone are ordered, then those texts are fetched
+    key = F.xxhash64("text")
+    last = rows.select(key.alias("h")).distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
+    if last is None:
         return None
+    first = rows.withColumn("h", key).where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("text", "lang")).alias("x")).select("h", "x.*").orderBy("h").toArrow()
     # classes of characters from the calibration rows: a character unseen there is rare
     text = " ".join(first.column("text").to_pylist()).lower()
     chars, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
@@ -205,7 +209,7 @@ def identify(documents: DataFrame, model: dict | None, min_score: float = 0.3, u
     docs = documents.drop(*made)
     keep = docs.columns
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "score double", "cross_entropy double", "rejected boolean"])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(made, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)]])
 
     def run(batches):
         m = shared.value

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapline.llm.common import cut
 from gapline.llm.packing import slices
@@ -137,7 +138,7 @@ def score(documents: DataFrame, model: dict | None, threshold: float = 0.3) -> D
     docs = documents.drop("score", "predicted")
     keep = docs.columns
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score double", "predicted int"])
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         m = shared.value
