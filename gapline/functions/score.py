@@ -20,7 +20,8 @@ def half_up(c: Column, digits: int) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """``c`` kept within bounds; null stays null, which ``greatest`` and ``least`` alone would turn into a bound."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def smoothed_rate(negative: Column, total: Column, alpha: float = ALPHA, beta: float = BETA) -> Column:
@@ -43,7 +44,7 @@ def completeness(fields: list[Column]) -> Column:
 
 def recency(latest: Column, as_of: Column, days: int = RECENCY_DAYS) -> Column:
     age = F.greatest(F.datediff(as_of, latest), F.lit(0))
-    return F.coalesce(clamp(1.0 - age / float(max(days, 1))), F.lit(0.5))
+    return F.when(latest.isNull(), F.lit(0.5)).otherwise(clamp(1.0 - age / float(max(days, 1))))
 
 
 def priority(score: Column) -> Column:

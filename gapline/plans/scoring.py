@@ -55,7 +55,7 @@ def max_mentions_scaled(spark, d):
     return c.crossJoin(F.broadcast(most)).select("place_id", "aspect", "mentions", S.half_up(F.col("mentions") / F.col("most").cast("double"), 6).alias("scaled"))
 
 
-@query(f"WITH {st.PLACES} SELECT place_id, rating, coalesce(greatest(0e0, least(1e0, (5e0 - rating) / 4e0)), 5e-1) AS gap FROM place")
+@query(f"WITH {st.PLACES} SELECT place_id, rating, CASE WHEN rating IS NULL THEN 5e-1 ELSE greatest(0e0, least(1e0, (5e0 - rating) / 4e0)) END AS gap FROM place")
 def rating_gap(spark, d):
     return st.places(spark, d).select("place_id", "rating", S.rating_gap(F.col("rating")).alias("gap"))
 

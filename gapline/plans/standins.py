@@ -115,7 +115,7 @@ fact0 AS (
      + (address IS NOT NULL AND trim(address) NOT IN ('', 'nan', 'None'))::INT + (lat IS NOT NULL)::INT + (lon IS NOT NULL)::INT + (rating IS NOT NULL)::INT
      + (status IS NOT NULL AND trim(status) NOT IN ('', 'nan', 'None'))::INT + (price_text IS NOT NULL AND trim(price_text) NOT IN ('', 'nan', 'None'))::INT
      + (facility_text IS NOT NULL AND trim(facility_text) NOT IN ('', 'nan', 'None'))::INT) / 9e0 AS completeness,
-    coalesce(greatest(0e0, least(1e0, (5e0 - rating) / 4e0)), 5e-1) AS rating_gap,
+    CASE WHEN rating IS NULL THEN 5e-1 ELSE greatest(0e0, least(1e0, (5e0 - rating) / 4e0)) END AS rating_gap,
     CASE WHEN latest IS NULL THEN 5e-1 ELSE greatest(0e0, least(1e0, 1e0 - greatest(DATE '2002-01-01' - latest, 0) / 365e0)) END AS recency
   FROM place p LEFT JOIN seen USING (place_id)),
 fact AS (SELECT *, greatest(0e0, least(1e0, (completeness + volume) / 2e0)) AS reliability FROM fact0),
