@@ -44,6 +44,18 @@ def gap_scores(places: DataFrame, reviews: DataFrame, mentions: DataFrame, aspec
         rows = rows.withColumn(c, S.half_up(F.col(c), 6))
     rows = rows.withColumn("priority", S.priority(F.col("score")))
     rows = rows.withColumn("reasons", F.array_join(S.reason_codes(F.col("rate"), F.col("frequency"), F.col("scarcity"), F.col("volume"), F.col("reliability")), "|"))
-    # places times aspects is far smaller than the reviews: one ordered pass ranks them
-    order = Window.orderBy(F.desc("score"), F.desc("negatives"), F.desc("mentions"), "place_id", "aspect")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).drop("most", "latest")
+    return ranked(rows.drop("most", "latest"), "score", ["negatives", "mentions"], ["place_id", "aspect"])
+
+
+def ranked(rows: DataFrame, score: str, more: list[str], ties: list[str]) -> DataFrame:
+    """``rank`` by ``score`` and ``more`` descending, then ``ties``, without an ordering of all rows in one task.
+
+    Scores lie in 0..100. Rows are ranked inside tenths of a point; a tenth starts after all rows of higher tenths, which a
+    running sum over the thousand tenths tells.
+    """
+    rows = rows.withColumn("_tenth", F.floor(F.col(score) * 10.0).cast("int"))
+    above = Window.orderBy(F.desc("_tenth")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_tenth").agg(F.count(F.lit(1)).alias("_n")).select("_tenth", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy("_tenth").orderBy(*[F.desc(c) for c in (score, *more)], *ties)
+    out = rows.join(F.broadcast(starts), "_tenth").withColumn("rank", (F.col("_above") + F.row_number().over(inside)).cast("long"))
+    return out.drop("_tenth", "_above")

@@ -174,3 +174,14 @@ def test_grid_search(spark):
     assert best["f1"] == 1.0
     assert setting["c"] == 1.0
     assert learning.probability(model, df).where("label = 1").agg(F.min("p")).first()[0] > 0.5
+
+
+def test_topics_part_planted_themes(spark):
+    rows = [(i, f"kamar bersih hotel nyaman kasur {i % 3}") for i in range(20)] + [(100 + i, f"ikan bakar enak makanan pedas {i % 3}") for i in range(20)] + [(999, None)]
+    assigned, terms = learning.topics(spark.createDataFrame(rows, "id long, text string"), "id", k=2)
+    got = {r.id: (r.topic, r.strength) for r in assigned.collect()}
+    assert len({got[i][0] for i in range(20)}) == 1
+    assert len({got[100 + i][0] for i in range(20)}) == 1
+    assert got[0][0] != got[100][0]
+    assert got[999] == (0, 0.0)
+    assert "hotel" in {r.term for r in terms.where(F.col("topic") == got[0][0]).collect()}

@@ -73,4 +73,4 @@ def test_multilabel_and_topics(spark, tiny):
     rows = QUERIES["multilabel_lr"](spark, tiny).collect()
     assert all(0 <= r.p <= 1 for r in rows)
     top = QUERIES["nmf_topics"](spark, tiny).collect()
-    assert all(0 < r.strength <= 1 and 0 <= r.topic < 6 for r in top)
+    assert all(0 <= r.strength <= 1 and 0 <= r.topic < 6 for r in top)
