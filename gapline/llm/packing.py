@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 #: Bytes of text that are tokenised at a time, and words that a worker remembers.
-CHUNK_BYTES, CACHE_WORDS, POOL_TOKENS = 4_000_000, 700_000, 1_500_000
+CHUNK_BYTES, CACHE_WORDS, POOL_TOKENS = 4_000_000, 250_000, 1_500_000
 
 
 def worker_store() -> types.ModuleType:
@@ -287,6 +287,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tupl
         packer.flush()
         packer.flush(last=True)
         yield packer.batch()
+        pa.default_memory_pool().release_unused()
 
     docs = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
     return docs.mapInArrow(run, SCHEMA)
