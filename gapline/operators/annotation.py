@@ -50,3 +50,43 @@ def gold_report(df: DataFrame, key: str, first: str, approval: str, group: str,
         n.alias("n"), F.countDistinct(group).alias("places"), F.count_if(~a.isin(classes)).alias("invalid_labels"), F.count_if(~ok).alias("unapproved"), twice.alias("duplicate_ids"), F.count_if(no_group).alias("missing_groups"),
         *[F.count_if(a == c).alias(c) for c in classes], valid.alias("valid"), ready.alias("ready"),
     )
+
+
+SUGGESTED = ["ai_label", "ai_confidence", "ai_rationale"]
+
+
+def suggest(queue: DataFrame, suggestions: DataFrame, key: str, approval: str) -> DataFrame:
+    """The queue with suggestions beside rows that no human has approved; approved rows keep theirs."""
+    side = suggestions.select(key, *[F.col(c).alias(f"_s_{c}") for c in SUGGESTED])
+    out = queue.join(side, key, "left")
+    for c in SUGGESTED:
+        old = F.col(c) if c in queue.columns else F.lit(None).cast("string")
+        out = out.withColumn(c, F.when(approved(F.col(approval)), old).otherwise(F.coalesce(f"_s_{c}", old)))
+    return out.drop(*[f"_s_{c}" for c in SUGGESTED])
+
+
+def keep_all(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``new``, or an error at run time if a key of ``old`` is not in it: gold labels are never lost by an export."""
+    lost = old.select(key).distinct().join(new.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("_lost"))
+    checked = lost.select(F.assert_true(F.col("_lost") == 0, F.format_string("%d gold rows would be lost", "_lost")).alias("_ok"))
+    return new.crossJoin(F.broadcast(checked)).where(F.col("_ok").isNull()).drop("_ok")
+
+
+def restore(queue: DataFrame, snapshot: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The queue with the human columns of a snapshot; every row of the snapshot must be in the queue."""
+    from gapline.operators.relational import merge_filled
+
+    return keep_all(snapshot, merge_filled(queue, snapshot, key, columns), key)
+
+
+def digest(df: DataFrame, key: str, columns: list[str]) -> str:
+    """One digest of the rows whatever their order: of sorted row digests, so only those are gathered."""
+    row = F.sha2(F.concat_ws("\x1f", key, *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+    return df.agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list(row))), 256)).first()[0]
+
+
+def snapshot(df: DataFrame, root: str, key: str, columns: list[str]) -> str:
+    """Written once under its digest; a snapshot that is there already stays as it is. Returns its path."""
+    path = f"{root.rstrip('/')}/{digest(df, key, columns)}"
+    df.select(key, *columns).write.mode("ignore").parquet(path)
+    return path

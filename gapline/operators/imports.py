@@ -15,6 +15,19 @@ from gapline.operators.relational import first_by, overlay_union
 LEAST_CHARS, MOST_CHARS, MOST_ROWS, MOST_BYTES = 3, 2000, 5000, 10 * 1024 * 1024
 SUFFIXES = (".csv", ".xlsx")
 REQUIRED = ["place_name", "place_category", "review_text"]
+TEMPLATE = ["place_id", "place_name", "place_category", "place_type", "address", "latitude", "longitude", "place_rating", "status", "facility_text", "min_price", "max_price", "review_id", "review_text", "review_rating", "review_date"]
+REVIEW_TEMPLATE = ["review_id", "review_text", "review_rating", "review_date"]
+ALIASES = {
+    "id_tempat": "place_id", "destination_id": "place_id", "nama_tempat": "place_name", "nama_destinasi": "place_name", "destination_name": "place_name", "kategori": "place_category",
+    "kategori_tempat": "place_category", "jenis_tempat": "place_type", "tipe_tempat": "place_type", "alamat": "address", "lat": "latitude", "lng": "longitude", "lon": "longitude",
+    "rating_tempat": "place_rating", "fasilitas": "facility_text", "harga_minimum": "min_price", "harga_maksimum": "max_price", "id_ulasan": "review_id", "ulasan": "review_text",
+    "teks_ulasan": "review_text", "review_text_raw": "review_text", "rating_ulasan": "review_rating", "reviewer_rating": "review_rating", "tanggal_ulasan": "review_date",
+}
+
+
+def template(columns: list[str] = REVIEW_TEMPLATE) -> str:
+    """A CSV file with the header alone."""
+    return ",".join(columns) + "\n"
 
 
 def row_errors() -> dict[str, Column]:

@@ -185,3 +185,54 @@ def test_topics_part_planted_themes(spark):
     assert got[0][0] != got[100][0]
     assert got[999] == (0, 0.0)
     assert "hotel" in {r.term for r in terms.where(F.col("topic") == got[0][0]).collect()}
+
+
+def bad_and_good(spark, n=12):
+    rows = [(i, i % 4, f"kotor buruk rusak {i % 5}", 1.0) for i in range(n)] + [(100 + i, i % 4, f"bagus bersih indah {i % 5}", 0.0) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, place long, text string, label double")
+
+
+def test_bundle_and_analysis(spark, tmp_path):
+    df = bad_and_good(spark)
+    with pytest.raises(ValueError):
+        learning.save_bundle(learning.train_binary(df), str(tmp_path / "m"), threshold=0.5)
+    learning.save_bundle(learning.train_binary(df), str(tmp_path / "m"), threshold=0.5, margin=0.1, label_source="human_gold", version="1")
+    bundle = learning.load_bundle(spark, str(tmp_path / "m"))
+    assert bundle[1]["margin"] == 0.1
+    rows = df.withColumn("kebersihan", (F.col("label") == 1).cast("int")).withColumn("lainnya", (F.col("label") == 0).cast("int"))
+    features, models = learning.train_multilabel(rows, ["kebersihan", "lainnya"])
+    got = {r.id: r for r in learning.analyse(df, "id", bundle, features, models).collect()}
+    assert (got[0].complaint, [a.label for a in got[0].aspects]) == ("detected", ["kebersihan"])
+    assert (got[100].complaint, [a.label for a in got[100].aspects]) == ("not_detected", ["lainnya"])
+
+
+def test_cross_validation_and_comparison(spark):
+    df = bad_and_good(spark)
+    got = learning.cross_validated_f1(df, "place", folds=2)
+    assert got["folds"] == [1.0, 1.0]
+    assert got["std"] == 0.0
+    rows = learning.weak_versus_gold(df, df.where("place <> 0"), df.where("place = 0"), "place").collect()
+    assert {r.label_source: r.macro_f1 for r in rows} == {"weak_rating": 1.0, "human_gold": 1.0}
+
+
+def test_gold_is_never_lost(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert annotation.keep_all(old, old, "id").count() == 2
+    with pytest.raises(Exception, match="1 gold rows would be lost"):
+        annotation.keep_all(old, old.where("id = 1"), "id").collect()
+    queue = spark.createDataFrame([(1, ""), (2, ""), (3, "own")], "id int, v string")
+    assert {tuple(r) for r in annotation.restore(queue, old, "id", ["v"]).collect()} == {(1, "a"), (2, "b"), (3, "own")}
+    path = annotation.snapshot(old, str(tmp_path), "id", ["v"])
+    assert annotation.snapshot(old.orderBy(F.desc("id")), str(tmp_path), "id", ["v"]) == path
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_suggestions_leave_approved_rows(spark):
+    queue = spark.createDataFrame([(1, "yes", "old"), (2, "", "old")], "id int, ok string, ai_label string")
+    new = spark.createDataFrame([(i, "new", "high", "why") for i in (1, 2)], "id int, ai_label string, ai_confidence string, ai_rationale string")
+    assert {r.id: (r.ai_label, r.ai_confidence) for r in annotation.suggest(queue, new, "id", "ok").collect()} == {1: ("old", None), 2: ("new", "high")}
+
+
+def test_template():
+    assert imports.template() == "review_id,review_text,review_rating,review_date\n"
+    assert len(imports.ALIASES) == 24
