@@ -116,7 +116,7 @@ def _tile(threshold):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = 0.12, target: int = 2048, block: int = 1024, sample: int = 20000, max_cells: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = 0.05, target: int = 1024, block: int = 1024, sample: int = 20000, max_cells: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other vectors at cosine >= ``threshold``), ``component_id``, ``kept``.
 
     ``margin`` is how far below its best cell's cosine a vector still joins a cell: the larger, the higher the recall
