@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import components, cut
+from gapline.llm.common import components, cut, long_texts
 from gapline.llm.packing import slices
 
 BANDS, ROWS = 24, 5
@@ -36,6 +36,8 @@ CHUNK = 2_000_000
 SLACK = 0.16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 TILE_BYTES = 2_000_000
+#: Up to so many ids of texts with a possible partner are broadcast (8 bytes each, twice in a hash table), so that only their texts move.
+BROADCAST_IDS = 500_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -210,6 +212,13 @@ def _tile(n, threshold):
     return run
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, ways: int = 16) -> DataFrame:
+    """``rows`` joined with the one row of ``facts`` per ``key``; a hot key's rows go to ``ways`` tasks."""
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64("doc_id"), F.lit(ways)).cast("int"))
+    copies = facts.withColumn("_way", F.explode(F.expr(f"sequence(0, {ways - 1})")))
+    return dealt.join(copies, ["key", "_way"]).drop("_way")
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the smallest id of its group) and ``kept`` (the one of that id).
 
@@ -218,6 +227,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, bl
     its own, so is a null id; equal texts without words are one class and link with nothing else; repeated rows share a
     class, and of rows with the same id the first of any order is kept; an empty table gives an empty result; other columns are ignored.
     """
+    long_texts(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("digest", F.md5("text"))
     signed = docs.where("text is not null and doc_id is not null").mapInArrow(_sign(n), "doc_id long, digest string, sig binary, bands array<long>")
@@ -226,18 +236,20 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, bl
     texts = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig"), F.max("bands").alias("bands")))
     buckets = cut(texts.where("bands is not null").select("doc_id", F.explode("bands").alias("key")))
     pivots = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pivots = cut(pivots.select("key", F.col("p.doc_id").alias("pivot"), "members"))
-    shared = cut(buckets.join(pivots, "key").select("doc_id", "key", "pivot", "members"))
+    pivots = cut(pivots.select("key", F.col("p.doc_id").alias("pivot")))
+    shared = cut(spread_join(buckets, pivots).select("doc_id", "key", "pivot"))
     pairs = cut(shared.where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(shared.select("doc_id")).distinct()
-    some = cut(docs.select("doc_id", "text").join(texts.select("doc_id", F.col("digest").alias("_d")).join(wanted, "doc_id"), "doc_id").where(F.md5("text") == F.col("_d")).select("doc_id", "text").dropDuplicates(["doc_id"]))
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(shared.select("doc_id")).distinct())
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    held = docs.join(side, "doc_id").join(texts.select("doc_id", "digest"), ["doc_id", "digest"])
+    some = cut(held.select("doc_id", "text").dropDuplicates(["doc_id"]))
     links = cut(verified(pairs, some, n, threshold))
     roots = cut(components(links))
     placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    members = cut(placed.join(mixed.select("key"), "key").join(some.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id"))
+    members = cut(spread_join(placed, mixed.select("key")).join(some.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id"))
     size = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("bytes") / TILE_BYTES)).cast("int")
-    rest = members.join(members.groupBy("key").agg(size.alias("blocks")), "key").join(texts.select("doc_id", "sig", "bands"), "doc_id").join(some, "doc_id")
+    rest = spread_join(members, members.groupBy("key").agg(size.alias("blocks"))).join(texts.select("doc_id", "sig", "bands"), "doc_id").join(some, "doc_id")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rest = rest.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "comp", "sig", "bands", "text")
     links = links.unionByName(cut(rest.groupBy("key", "i", "j").applyInArrow(_tile(n, threshold), "a long, b long")))
