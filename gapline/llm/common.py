@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/gapline-shared"
-
+from gapline.operators.graph import materialise as cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+__all__ = ["components", "cut", "long_texts"]
 
+ARROW_ROWS = 1000
 
-def cut(df: DataFrame, **options) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
 
-    A plain Parquet table rather than ``checkpoint()``: columns stay pruned and statistics are known to the optimizer.
-    Rows, columns and nulls are kept as they are; the order of rows is not. ``options`` go to the Parquet writer.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/gapline-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def long_texts(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to a thousand rows, unless it asks for fewer: ten thousand texts at a time take an
+    executor hundreds of MB beside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000") or 0) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

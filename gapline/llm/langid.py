@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.llm.common import cut
+from gapline.llm.common import cut, long_texts
 from gapline.llm.packing import slices
 
 BITS, ORDER, ALPHABET = 12, 5, 4000
@@ -164,6 +164,7 @@ def _calibrate(ce: np.ndarray, truth: np.ndarray) -> tuple[float, np.ndarray]:
 def train(rows: DataFrame, floor: float = 2e-6, calibration: int = 2000) -> dict | None:
     """Models from ``text`` and ``lang`` of all rows where both are there; None if there are none."""
     rows = rows.where("text is not null and lang is not null").select("text", F.col("lang").cast("string"))
+    long_texts(rows.sparkSession)
     sc = rows.sparkSession.sparkContext
     # different texts with the smallest hashes: the hashes alone are ordered, then those texts are fetched
     key = F.xxhash64("text")
@@ -205,6 +206,7 @@ def identify(documents: DataFrame, model: dict | None, min_score: float = 0.3, u
     is every text when there is no model; repeated rows are judged alike; equal cross-entropies go to the first
     language by name; columns of these names that are there already are replaced; an empty table gives an empty result.
     """
+    long_texts(documents.sparkSession)
     made = ["lang_pred", "score", "cross_entropy", "rejected"]
     docs = documents.drop(*made)
     keep = docs.columns

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from gapline.llm.common import long_texts
+
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 #: Bytes of text that are tokenised at a time, and words that a worker remembers.
@@ -266,6 +268,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tupl
     cases: null and empty texts are the end id alone; a text of any length is cut, never shortened; repeated rows are packed
     again; a null id stays null; an empty table gives an empty result; other columns are ignored.
     """
+    long_texts(documents.sparkSession)
     with open(tokenizer_path, "rb") as f:
         data = f.read()
     if len(data) > 64_000_000:

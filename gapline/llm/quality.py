@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.llm.common import cut
+from gapline.llm.common import cut, long_texts
 from gapline.llm.packing import slices
 
 BUCKETS = 4096
@@ -135,6 +135,7 @@ def score(documents: DataFrame, model: dict | None, threshold: float = 0.3) -> D
     share of label 1; without labelled rows every score is 1; repeated rows score alike; columns of
     these names that are there already are replaced; an empty table gives an empty result.
     """
+    long_texts(documents.sparkSession)
     docs = documents.drop("score", "predicted")
     keep = docs.columns
     shared = documents.sparkSession.sparkContext.broadcast(model)

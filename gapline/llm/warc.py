@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import cut
+from gapline.llm.common import cut, long_texts
 
 EPOCH = datetime.datetime(2020, 1, 1)
 BROADCAST_REVISITS = 500_000
@@ -207,6 +207,7 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 1_00
 
     ``pages``: ``page_id``, ``url``, ``html``; others are ignored. Null html is an empty payload.
     """
+    long_texts(pages.sparkSession)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     index = cut(rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"))
