@@ -244,7 +244,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, bl
     held = docs.join(side, "doc_id").join(texts.select("doc_id", "digest"), ["doc_id", "digest"])
     some = cut(held.select("doc_id", "text").dropDuplicates(["doc_id"]))
     links = cut(verified(pairs, some, n, threshold))
-    roots = cut(components(links))
+    roots = components(links)
     placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     members = cut(spread_join(placed, mixed.select("key")).join(some.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id"))

@@ -77,11 +77,12 @@ def test_top_k_corner_cases(spark):
     assert topk.top_k(big, big, 5).count() == 2
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (50, 50)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (50, 50)] + [(200, i) for i in range(150, 190)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 200: 150, **dict.fromkeys(range(150, 190), 150)}
+    assert components(spark.createDataFrame([], "a long, b long"), few=few).collect() == []
 
 
 @pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op10_top_k"])
