@@ -7,9 +7,9 @@ probabilities and one of packed contexts with their back-off weights, searched b
 language is the cross-entropy per character over its whole text; the lowest wins. Calibration turns cross-entropies
 into a probability and bounds what a text of the language may cost; what fails either is rejected.
 
-Bounds: a gram must hold ``floor`` of its language's gram occurrences (more with over eight languages), which allows 1 /
-``floor`` grams a language at most, so the broadcast models are bounded; characters beyond the ``ALPHABET`` most frequent
-are one class. Calibration uses ``calibration`` training rows, chosen by hash.
+No gram is left out, so the models grow with the different grams of the training texts: some 50 bytes each in the driver
+and in every Python worker. Characters beyond the ``ALPHABET`` most frequent are one class. Calibration uses ``calibration`` training
+rows, chosen by hash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.llm.common import cut, long_texts
+from gapline.llm.common import long_texts
 from gapline.llm.packing import slices
 
 BITS, ORDER, ALPHABET = 12, 5, 4000
@@ -161,7 +161,7 @@ def _calibrate(ce: np.ndarray, truth: np.ndarray) -> tuple[float, np.ndarray]:
     return float(slopes[int(np.argmin(loss))]), ceiling
 
 
-def train(rows: DataFrame, floor: float = 2e-6, calibration: int = 2000) -> dict | None:
+def train(rows: DataFrame, calibration: int = 2000) -> dict | None:
     """Models from ``text`` and ``lang`` of all rows where both are there; None if there are none."""
     rows = rows.where("text is not null and lang is not null").select("text", F.col("lang").cast("string"))
     long_texts(rows.sparkSession)
@@ -178,11 +178,7 @@ def train(rows: DataFrame, floor: float = 2e-6, calibration: int = 2000) -> dict
     classes = letter_classes([int(c) for c in chars[np.argsort(-n, kind="stable")] if unicodedata.category(chr(c))[0] in "LM"][:ALPHABET])
     shared = sc.broadcast(classes)
     grams = rows.mapInArrow(_count(shared), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = cut(grams)
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = totals.count()
-    keep = grams.join(totals, "lang").where(F.col("n") >= F.col("total") * (floor * max(1.0, langs / 8))).select("lang", "gram", "n")
-    table = keep.toArrow()
+    table = grams.toArrow()
     lang = table.column("lang").to_numpy()
     gram = table.column("gram").to_numpy().view(np.uint64)
     n = table.column("n").to_numpy()

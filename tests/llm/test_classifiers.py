@@ -49,6 +49,18 @@ def test_language_corner_cases(spark, docs, clash):
     assert langid.identify(df.limit(0), model).collect() == []
 
 
+def test_no_gram_is_left_out(spark):
+    """A gram seen once counts, however much text there is."""
+    rows = spark.createDataFrame([("the quick brown fox " * 60_000, "en"), ("zyxwv", "en")], "text string, lang string")
+    model = langid.train(rows)
+    gram, ends = langid.codes(["zyxwv"], model["classes"])
+    five, one = model["models"][0][4], model["models"][0][0]
+    assert np.isin(gram, five[0]).all()
+    assert len(five[0]) == len(np.unique(langid.codes(["the quick brown fox " * 3, "zyxwv"], model["classes"])[0]))
+    # continuation counts and the discount are those of all grams
+    assert len(one[0]) == len(set("the quick brown fox" + "zyxwv"))
+
+
 def test_quality_held_out(spark, tiny):
     marks = spark.read.parquet(f"{tiny}/labels.parquet")
     got = QUERIES["op5_quality"](spark, tiny).join(marks, "doc_id").where("held_out").toPandas()
