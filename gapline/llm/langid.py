@@ -8,8 +8,8 @@ language is the cross-entropy per character over its whole text; the lowest wins
 into a probability and bounds what a text of the language may cost; what fails either is rejected.
 
 No gram is left out, so the models grow with the different grams of the training texts: some 50 bytes each in the driver
-and in every Python worker. Characters beyond the ``ALPHABET`` most frequent are one class. Calibration uses ``calibration`` training
-rows, chosen by hash.
+and in every Python worker. Letters are counted over all training texts; those beyond the ``ALPHABET`` of greatest share in a language
+are one class. Calibration uses ``calibration`` different training texts, as many of each language and at least ``LEAST``, chosen by hash.
 """
 
 from __future__ import annotations
@@ -18,16 +18,17 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.llm.common import long_texts
+from gapline.llm.common import cut, long_texts
 from gapline.llm.packing import slices
 
 BITS, ORDER, ALPHABET = 12, 5, 4000
 EDGE, OTHER = 0, 1  # classes of characters: text edges and all that is no letter, rare letters
 CHUNK = 1_500_000
+LEAST = 100  # calibration texts of a language, if it has them
 
 
 def held_out(id_col: Column, modulus: int, rest: int) -> Column:
@@ -43,6 +44,38 @@ def letter_classes(common: list[int]) -> np.ndarray:
     return classes
 
 
+def _letters(batches):
+    """Per slice of a batch and language, the lower-cased letters and their counts."""
+    for whole in batches:
+        for b in slices(whole, "text", CHUNK):
+            texts, of = b.column("text").to_pylist(), b.column("lang").to_pylist()
+            for lang in dict.fromkeys(of):
+                text = "".join(t.lower() for t, x in zip(texts, of, strict=True) if x == lang)
+                found = pa.array(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")).value_counts().to_pylist()
+                found = [(x["values"], x["counts"]) for x in found if unicodedata.category(chr(x["values"]))[0] in "LM"]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([c for c, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], ["lang", "letter", "n"])
+
+
+def _alphabet(rows: DataFrame) -> list[int]:
+    """The letters of ``rows`` by their greatest share of a language's letters, up to ``ALPHABET``."""
+    n = rows.mapInArrow(_letters, "lang string, letter int, n long").groupBy("lang", "letter").agg(F.sum("n").alias("n"))
+    n = cut(n)
+    share = n.join(n.groupBy("lang").agg(F.sum("n").alias("total")), "lang").groupBy("letter").agg(F.max(F.col("n") / F.col("total")).alias("share"))
+    return [r.letter for r in share.orderBy(F.desc("share"), "letter").limit(ALPHABET).collect()]
+
+
+def _calibration(rows: DataFrame, size: int) -> pa.Table:
+    """Different texts of ``rows`` with the smallest hashes of their language: the hashes are chosen, then those texts fetched."""
+    hashes = cut(rows.select("lang", F.xxhash64("text").alias("h")).distinct())
+    kinds = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
+    each = max(LEAST, -(-size // max(1, kinds.count())))
+    # of a language with many texts, only hashes low enough to hold four times as many as wanted are ranked
+    low = hashes.join(F.broadcast(kinds), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("kinds") <= 4 * each)
+    first = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "h")
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(first), ["lang", "h"])
+    return found.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").toArrow()
+
+
 def codes(texts: list[str | None], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed grams, one per letter, run of other characters and text's end, and where each text's grams end."""
     parts = [(t or "").lower() for t in texts]
@@ -166,16 +199,10 @@ def train(rows: DataFrame, calibration: int = 2000) -> dict | None:
     rows = rows.where("text is not null and lang is not null").select("text", F.col("lang").cast("string"))
     long_texts(rows.sparkSession)
     sc = rows.sparkSession.sparkContext
-    # different texts with the smallest hashes: the hashes alone are ordered, then those texts are fetched
-    key = F.xxhash64("text")
-    last = rows.select(key.alias("h")).distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
-    if last is None:
+    first = _calibration(rows, calibration)
+    if not first.num_rows:
         return None
-    first = rows.withColumn("h", key).where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("text", "lang")).alias("x")).select("h", "x.*").orderBy("h").toArrow()
-    # classes of characters from the calibration rows: a character unseen there is rare
-    text = " ".join(first.column("text").to_pylist()).lower()
-    chars, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
-    classes = letter_classes([int(c) for c in chars[np.argsort(-n, kind="stable")] if unicodedata.category(chr(c))[0] in "LM"][:ALPHABET])
+    classes = letter_classes(_alphabet(rows))
     shared = sc.broadcast(classes)
     grams = rows.mapInArrow(_count(shared), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()

@@ -61,6 +61,20 @@ def test_no_gram_is_left_out(spark):
     assert len(one[0]) == len(set("the quick brown fox" + "zyxwv"))
 
 
+def test_rare_languages_have_letters_and_calibration(spark):
+    """Scripts of a few documents among thousands are told apart, and each language is calibrated on its own texts."""
+    common = [(f"the and of that with this number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {i}", "en") for i in range(3000)]
+    rare = [("καλημέρα κόσμε και πάλι", "el"), ("καλημέρα σε όλο τον κόσμο", "el"), ("สวัสดีชาวโลก", "th"), ("สวัสดีตอนเช้าทุกคน", "th")]
+    model = langid.train(spark.createDataFrame(common + rare, "text string, lang string"), calibration=20)
+    assert model["names"] == ["el", "en", "th"]
+    assert np.isfinite(model["ceiling"]).all()
+    own = model["classes"][[ord(c) for c in "κσสช"]]
+    assert (own > langid.OTHER).all()
+    assert len(set(own.tolist())) == 4
+    probe = spark.createDataFrame([(1, "κόσμε"), (2, "ชาวโลก"), (3, "that number")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(probe, model).orderBy("doc_id").collect()] == ["el", "th", "en"]
+
+
 def test_quality_held_out(spark, tiny):
     marks = spark.read.parquet(f"{tiny}/labels.parquet")
     got = QUERIES["op5_quality"](spark, tiny).join(marks, "doc_id").where("held_out").toPandas()
