@@ -71,9 +71,12 @@ def op7_minhash_near_dedup(spark, sf_dir):
 
 
 def op8_tool_call_linking(spark, sf_dir):
-    """User turns are calls of ``reply`` with their text; assistant turns are results of the turn before them."""
+    """User turns are calls of ``reply`` with their text; assistant turns are results of the turn before them.
+
+    A turn with a null conversation or number has a null id. Turns of other roles (system, null) are neither and have no row.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    ident = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     arguments = F.to_json(F.struct("turn", F.col("text")))
     calls = turns.where("role = 'user'").select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))

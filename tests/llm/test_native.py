@@ -116,6 +116,14 @@ def test_linking_and_order(spark, clash):
     assert got == sorted([("x", "linked", 5, 2, 5, 1), ("y", "linked", 1, 6, 6, 0), ("z", "unanswered", 0, None, None, None), ("None", "unanswered", 0, None, None, None), ("None", "orphan", None, 0, None, None), ("w", "orphan", None, 0, 0, 0)], key=str)
 
 
+def test_turns_with_null_keys_stay_apart(spark, tmp_path):
+    """No id is made of half a key: every such turn keeps its own row."""
+    rows = [(None, 3, "user", "a"), (None, 3, "user", "b"), (None, 4, "assistant", "c"), (5, None, "user", "d"), (None, 5, "user", "e"), (5, None, "assistant", "f"), (7, 0, "user", "g"), (7, 1, "assistant", "h")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op8_tool_call_linking"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.call_id), r.status) for r in got) == sorted([("None", "unanswered")] * 4 + [("None", "orphan")] * 2 + [("7:0", "linked")])
+
+
 def test_places_follow_dependencies(spark):
     nodes = spark.createDataFrame([("a", 3), ("b", 1), ("c", 1), ("d", 9), ("p", 1), ("q", 1)], "id string, turn long")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("p", "q"), ("q", "p"), ("none", "a")], "before string, after string")
