@@ -192,6 +192,18 @@ def bad_and_good(spark, n=12):
     return spark.createDataFrame(rows, "id long, place long, text string, label double")
 
 
+def test_word_features_have_the_reference_sizes(spark):
+    """More words than 20,000 are kept, and one in every text is not."""
+    from pyspark.ml import Pipeline
+
+    parts = [" ".join(f"w{i}" for i in range(j * 600, j * 600 + 600)) for j in range(20)]
+    rows = [(f"always {p}",) for p in parts for _ in range(2)]
+    words = Pipeline(stages=learning.word_features()).fit(spark.createDataFrame(rows, "text string")).stages[3].vocabulary
+    # 12,000 words, 599 pairs in each of 20 texts, and 'always' with the first word of each
+    assert len(words) == 12_000 + 20 * 599 + 20
+    assert "always" not in words
+
+
 def test_bundle_and_analysis(spark, tmp_path):
     df = bad_and_good(spark)
     with pytest.raises(ValueError):
