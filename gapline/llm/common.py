@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.operators.graph import discard, new_path, written
 from gapline.operators.graph import materialise as cut
 
-__all__ = ["components", "cut", "long_texts"]
+__all__ = ["components", "cut", "discard", "long_texts", "new_path", "written"]
 
 ARROW_ROWS = 1000
 
@@ -21,7 +22,8 @@ def long_texts(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-#: Up to so many edges, 16 bytes each, one task joins them; beyond, rounds over all executors do. Both give the same roots.
+#: Up to so many edges (1.6 MB, some 50 MB as Python numbers) one task joins them in under a second, where rounds over all executors
+#: cost ten to twenty jobs; beyond, the rounds do. Both give the same roots.
 FEW_EDGES = 100_000
 
 
@@ -54,14 +56,18 @@ def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) ->
     now = cut(edges.where("a <> b").select(*pair("a", "b")).distinct())
     seen = _mark(now)
     if seen[0] <= few:
-        return cut(now.coalesce(1).mapInArrow(_join_few, "node long, root long"))
+        joined = cut(now.coalesce(1).mapInArrow(_join_few, "node long, root long"))
+        discard(now)
+        return joined
     for _ in range(max_rounds if seen[0] else 0):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = cut(small)
+        small = cut(small)
+        discard(now)
+        now = small
         was, seen = seen, _mark(now)
         if was == seen:
             break

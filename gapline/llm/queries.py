@@ -67,7 +67,7 @@ def op6_mixing(spark, sf_dir):
 
 
 def op7_minhash_near_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op8_tool_call_linking(spark, sf_dir):

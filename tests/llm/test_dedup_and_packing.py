@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import zlib
@@ -108,6 +109,45 @@ def test_dedup_corner_cases(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_ids_with_several_texts(spark):
+    """Rows of one id and different texts are documents of their own, in any order of rows."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(50)]
+    near = lambda: " ".join(base[:20] + [f"y{rng.randrange(99)}"] + base[21:])
+    other = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, " ".join(base)), (1, other), (2, near()), (2, other), (2, "alone in the world"), (3, near()), (3, near()), (0, "one two three"), (1, other)]
+    texts = [t for _, t in rows]
+    root = groups(texts)
+    want = []
+    for (i, t), r in zip(rows, root, strict=True):
+        members = [rows[k] for k in range(len(rows)) if root[k] == r]
+        first = min(members, key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest()))
+        want.append((i, t, first[0], (i, t) == first))
+    for seed in range(4):
+        order = list(range(len(rows)))
+        random.Random(seed).shuffle(order)
+        df = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string")
+        found = minhash.near_duplicates(df).select("doc_id", "digest", "class_id", "kept")
+        got = sorted((r.doc_id, r.digest, r.class_id, r.kept) for r in found.collect())
+        assert got == sorted((i, hashlib.md5(t.encode()).hexdigest(), c, k) for i, t, c, k in want)
+
+
+def test_recall_by_edit_rate(spark):
+    """Of pairs whose similarity reaches 0.8, every one is linked at any rate of edits; under it, none is."""
+    rng = random.Random(5)
+    texts, rate_of = [], []
+    for rate in (0.002, 0.005, 0.01, 0.02, 0.03, 0.05):
+        for _ in range(25):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([80, 300]))]
+            copy = [w if rng.random() > rate else f"v{rng.randrange(10**6)}" for w in base]
+            texts += [" ".join(base), " ".join(copy)]
+            rate_of += [rate, rate]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(0, len(texts), 2):
+        near = brute_similarity(weighted(texts[i]), weighted(texts[i + 1])) >= 0.8
+        assert (got[i] == got[i + 1]) == near, rate_of[i]
+
+
 @pytest.fixture(scope="module")
 def coder():
     with open(tokenizer_path(), "rb") as f:
