@@ -8,6 +8,7 @@ weights (documents are left out or repeated) and packing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gapline.llm import langid, minhash, mixing, packing, quality
 from gapline.llm.common import cut
@@ -28,9 +29,19 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or nearly equal texts stays, that with the smallest id; null ids stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of equal or nearly equal texts stays, that with the smallest id; null ids and null texts stay.
+
+    Of rows with one id and one text one stays, with the smallest values of the other columns.
+    """
+    found = cut(minhash.near_duplicates(docs).where("doc_id is not null and digest is not null"))
+    gone = found.where("not kept").select("doc_id", "digest").distinct()
+    again = cut(found.where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest"))
+    rows = docs.select(*COLUMNS, F.md5("text").alias("digest"))
+    out = rows.join(gone, ["doc_id", "digest"], "left_anti")
+    if again.isEmpty():
+        return out.select(COLUMNS)
+    once = out.join(again, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min(F.struct(COLUMNS)).alias("x"))
+    return out.join(again, ["doc_id", "digest"], "left_anti").select(COLUMNS).unionByName(once.select("x.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
