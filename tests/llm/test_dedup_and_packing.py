@@ -250,5 +250,13 @@ def test_pipeline_stages(spark, tiny, docs, coder):
     assert pieces.agg(F.sum("length")).first()[0] == total
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark, tiny):
+    """Repeated rows, ids with several texts, and null ids and texts."""
+    rows = [(1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (1, "g h i j k l", "en", "s"), (2, "a b c d e f", "en", "s"), (3, None, "en", "s"), (3, None, "en", "s"), (None, "a b c d e f", "en", "s"), (2, "m n o p q r", "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    got = dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, docs, tiny).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("1", "a b c d e f"), ("1", "g h i j k l"), ("2", "m n o p q r"), ("3", "None"), ("3", "None"), ("None", "a b c d e f")]
+
+
 def test_pipeline_runs(spark, tiny):
     assert QUERIES["pipeline"](spark, tiny).count() > 0
