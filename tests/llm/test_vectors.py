@@ -73,8 +73,40 @@ def test_top_k_corner_cases(spark):
     assert got == [(0, 1, 1, 65536), (0, 2, 6, -131072), (0, 3, 6, -131072)]
     assert topk.top_k(df.limit(0), df.limit(0), 5).collect() == []
     assert topk.top_k(df, df.limit(0), 5).collect() == []
-    big = spark.createDataFrame([(0, [3e18, 1.0]), (1, [3e18, 2.0])], "vec_id long, embedding array<double>")
-    assert topk.top_k(big, big, 5).count() == 2
+    big = spark.createDataFrame([(0, [6e6, 1.0]), (1, [6e6, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted(r.score for r in topk.top_k(big, big, 5).collect()) == [(6_000_000 * 256) ** 2 + 2 * 256 * 256] * 2
+
+
+def test_top_k_with_repeated_ids(spark):
+    """Rows are queries and candidates, whatever their ids; only one row of a query's id and vector is its own."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-2, 3, (60, 3)).astype(float)
+    ids = [int(i) for i in rng.integers(0, 20, 60)]
+    ids[3:6] = [10, 10, 10]
+    x[3:6] = [2.0, -0.0, 1.0]
+    x[4, 1] = 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(7)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), 5, block=3).collect())
+    q = np.floor(256 * x).astype(np.int64)
+    want = []
+    for i in range(60):
+        if ids[i] % 10 == 0:
+            best = sorted((-int(q[j] @ q[i]), ids[j]) for j in range(60) if j != i)[:5]
+            want += [(ids[i], k + 1, v, -s) for k, (s, v) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_when_queries_are_no_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [3.0]), (2, [2.0])], SCHEMA)
+    ask = spark.createDataFrame([(0, [2.0]), (7, [1.0])], SCHEMA)
+    got = sorted(tuple(r) for r in topk.top_k(df, ask, 2).collect())
+    assert got == [(0, 1, 1, 512 * 768), (0, 2, 2, 512 * 512), (7, 1, 1, 256 * 768), (7, 2, 2, 256 * 512)]
+
+
+def test_scores_beyond_a_long_are_an_error():
+    with pytest.raises(ArithmeticError, match="beyond a long"):
+        topk._scores(np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 1.0]]))
+    assert topk._scores(np.array([[2.0**30 + 1, 1.0]]), np.array([[2.0**30, 3.0]])).tolist() == [[2**60 + 2**30 + 3]]
 
 
 @pytest.mark.parametrize("few", [0, 1000])
