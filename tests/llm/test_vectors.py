@@ -42,6 +42,25 @@ def test_links_against_brute_force(spark, clash):
         assert (got.component_id.values == lab).all()
 
 
+def test_recall_with_thousands_of_cells(spark):
+    """Two rows a cell on average, as many cells as the bound allows."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((1500, 48))
+    x = np.concatenate([base, base + rng.normal(0, 0.1, base.shape), base + rng.normal(0, 0.2, base.shape), base + rng.normal(0, 0.3, base.shape)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = embedding_dedup.near_duplicate_vectors(df, 0.95, target=5).orderBy("vec_id").toPandas()
+    n, _ = brute(x, 0.95)
+    assert (got.n_links.values <= n).all()
+    assert got.n_links.sum() >= 0.9 * n.sum()
+
+
+def test_ids_with_several_vectors(spark):
+    """Rows are vectors of their own, whatever their ids."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.02, 1.0]), (0, [0.01, 1.0]), (2, [-1.0, 0.0]), (2, [-1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 0, False), (3, 2, 0, False), (0, 2, 0, True), (2, 1, 2, True), (2, 1, 2, True)])
+
+
 def test_vector_corner_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0]), (10, []), (None, [1.0, 0.0]), (11, [3e38, 0.0])]
