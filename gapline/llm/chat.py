@@ -1,10 +1,10 @@
 """Tool-call linking and canonical chat records, in DataFrame operations only.
 
-Calls and results meet in an equi-join on their identifier. Links and stated dependencies order the messages: a message's
-place is (turn, level), raised where it would not come after what it depends on; rounds run only as deep as the longest
-chain of messages out of order. Arguments are parsed once, checked against the tool's schema and written as canonical
-JSON: keys in order, no white space. A record is one exchange, so a conversation of any length is many small rows, not
-one long one.
+Calls and results meet in a shuffled hash join on their conversation and identifier. Links and stated dependencies order the
+messages: a message's place is (turn, level), raised where it would not come after what it depends on; rounds run only as deep as
+the longest chain of messages out of order. Arguments are parsed once, checked against the tool's schema and written as
+canonical JSON: keys in order, no white space. A record is one exchange, so a conversation of any length is many small
+rows, not one long one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import cut
+from gapline.llm.common import cut, discard
 
 #: Names of JSON schema types, and what Spark calls the types of parsed values.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
@@ -28,7 +28,7 @@ def canonical(text: Column) -> Column:
 def valid(name: Column, text: Column, schemas: dict) -> Column:
     """Whether a call's arguments fit its tool's schema: an object with all that is required, each value of its kind.
 
-    ``schemas``: tool -> {"required": [...], "properties": {parameter: {"type": ..., "minLength": n, "minimum": n}},
+    ``schemas``: tool -> {"required": [...], "properties": {parameter: {"type": ..., "minLength": n, "maxLength": n, "minimum": n, "maximum": n}},
     "additionalProperties": bool}. Unknown tools, null arguments and broken JSON are not valid.
     """
     value = F.try_parse_json(text)
@@ -39,10 +39,10 @@ def valid(name: Column, text: Column, schemas: dict) -> Column:
         for p, rule in schema.get("properties", {}).items():
             part = F.try_variant_get(value, f"$['{p}']", "variant")
             fits = kind(part).isin(KINDS[rule["type"]]) if "type" in rule else F.lit(True)
-            if "minLength" in rule:
-                fits = fits & F.coalesce(F.length(F.try_variant_get(value, f"$['{p}']", "string")) >= rule["minLength"], F.lit(False))
-            if "minimum" in rule:
-                fits = fits & F.coalesce(F.try_variant_get(value, f"$['{p}']", "double") >= float(rule["minimum"]), F.lit(False))
+            size, value_of = F.length(F.try_variant_get(value, f"$['{p}']", "string")), F.try_variant_get(value, f"$['{p}']", "double")
+            for bound, holds in (("minLength", size.__ge__), ("maxLength", size.__le__), ("minimum", value_of.__ge__), ("maximum", value_of.__le__)):
+                if bound in rule:
+                    fits = fits & F.coalesce(holds(rule[bound]), F.lit(False))
             checks.append(part.isNull() | fits)
         checks += [F.try_variant_get(value, f"$['{p}']", "variant").isNotNull() for p in schema.get("required", [])]
         if schema.get("additionalProperties") is False:
@@ -52,54 +52,80 @@ def valid(name: Column, text: Column, schemas: dict) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def hash_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that hashes ``right``, the side with the shorter rows, per partition; neither side is sorted or broadcast."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
 def places(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """A topological order: ``id``, ``turn``, ``level`` such that (turn, level) rises along every edge (``before``, ``after``).
 
-    ``nodes``: ``id`` and ``turn``. A message keeps its turn unless something it depends on comes later. Edges to unknown ids are ignored. Rounds
+    ``nodes``: ``id`` (of any type that can be compared) and ``turn``. A message keeps its turn unless something it depends on comes later. Edges to unknown ids are ignored. Rounds
     end when nothing moves; what still moves after ``max_depth`` rounds (a cycle, or so deep a chain out of order) has null level.
     """
     now = nodes.select("id", "turn", F.lit(0).cast("long").alias("level"))
+    before = None
     for _ in range(max_depth):
-        after = edges.join(now.select(F.col("id").alias("before"), F.struct("turn", "level").alias("b")), "before").groupBy(F.col("after").alias("id")).agg(F.max("b").alias("b"))
+        ends = hash_join(edges, now.select(F.col("id").alias("before"), F.struct("turn", "level").alias("b")), "before")
+        after = ends.groupBy(F.col("after").alias("id")).agg(F.max("b").alias("b"))
         late = F.col("b").isNotNull() & (F.struct("turn", "level") <= F.col("b"))
-        moved = now.join(after, "id", "left").select("id", F.when(late, F.col("b.turn")).otherwise(F.col("turn")).alias("turn"), F.when(late, F.col("b.level") + 1).otherwise(F.col("level")).alias("level"), late.alias("late"))
+        moved = hash_join(now, after, "id", "left").select("id", F.when(late, F.col("b.turn")).otherwise(F.col("turn")).alias("turn"), F.when(late, F.col("b.level") + 1).otherwise(F.col("level")).alias("level"), late.alias("late"))
         moved = cut(moved)
-        now = moved.drop("late")
+        if before is not None:
+            discard(before)
+        now, before = moved.drop("late"), moved
         if moved.where("late").isEmpty():
             return now
-    return now.join(moved.where("late").select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left").select("id", "turn", F.when(F.col("_id").isNull(), F.col("level")).alias("level"))
+    return moved.select("id", "turn", F.when(~F.col("late"), F.col("level")).alias("level"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict, depends: DataFrame | None = None) -> DataFrame:
-    """One row per call and per result without a call.
+def _firsts(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of each key (``conv_id``, ``call_id``) the first row by ``columns``, and all other rows of it; a row with half a key is a first."""
+    keyed = rows.where("conv_id is not null and call_id is not null")
+    least = cut(keyed.groupBy("conv_id", "call_id").agg(F.min(F.struct(columns)).alias("x"), F.count(F.lit(1)).alias("n")))
+    firsts = least.select("conv_id", "call_id", "x.*").unionByName(rows.where("conv_id is null or call_id is null").select("conv_id", "call_id", *columns))
+    many = least.where("n > 1").select("conv_id", "call_id", "x")
+    if many.isEmpty():
+        return firsts, firsts.limit(0)
+    # equal rows are counted before they move
+    kinds = keyed.groupBy("conv_id", "call_id", *columns).agg(F.count(F.lit(1)).alias("n")).join(many, ["conv_id", "call_id"])
+    left = kinds.withColumn("n", F.col("n") - F.when(F.struct(columns).eqNullSafe(F.col("x")), 1).otherwise(0)).where("n > 0")
+    return firsts, left.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("conv_id", "call_id", *columns)
+
 
-    ``calls``: ``conv_id``, ``turn``, ``call_id``, ``name``, ``arguments`` (JSON). ``results``: ``conv_id``, ``turn``, ``call_id``, ``content``.
-    ``depends``: ``before`` and ``after``, call ids whose results must come first. Returns ``conv_id``, ``call_id``, ``call_turn``,
-    ``result_turn``, ``result_place`` and ``result_level`` (where the result stands in topological order), ``status`` (linked, unanswered, orphan),
-    ``valid`` and ``record`` (canonical JSON of the exchange). Defined cases: a null id links with nothing; of calls, and of results, with one id
-    the first by turn (then by text) holds and later ones are left out as repeats; null or broken arguments are
+def link(calls: DataFrame, results: DataFrame, schemas: dict, depends: DataFrame | None = None) -> DataFrame:
+    """One row per exchange: a call with its result, a call or a result without the other, and each repeat.
+
+    ``calls``: ``conv_id``, ``turn``, ``call_id``, ``name``, ``arguments`` (JSON). ``results``: ``conv_id``, ``turn``, ``call_id``, ``content``. An
+    identifier counts inside its conversation. ``depends``: ``conv_id``, ``before`` and ``after``, call ids of which the result of the one comes before the call of the
+    other. Returns ``conv_id``, ``call_id``, ``call_turn``, ``result_turn``, the places of both in topological order (``call_place``, ``call_level``, ``result_place``,
+    ``result_level``), ``status`` (linked, unanswered, orphan, repeated_call, repeated_result), ``valid`` and ``record`` (canonical JSON of the exchange). Defined cases: with a null
+    conversation or a null id a row links with nothing and has no place; of calls, and of results, with one conversation and id
+    the first by turn (then by name and text) is linked and each other is a row of its own, a repeat without a place; null or broken arguments are
     not valid and null in the record; empty tables give an empty result; other columns are ignored.
     """
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments")
     r = results.select("conv_id", "turn", "call_id", "content")
-    one = lambda df, cols: df.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", *cols)).alias("x")).select("call_id", "x.*")
-    first_c = one(c, ["conv_id", "name", "arguments"]).unionByName(c.where("call_id is null").select("call_id", "turn", "conv_id", "name", "arguments"))
-    first_r = one(r, ["conv_id", "content"]).unionByName(r.where("call_id is null").select("call_id", "turn", "conv_id", "content"))
-    first_c = first_c.select("call_id", F.col("conv_id").alias("c_conv"), F.col("turn").alias("call_turn"), "name", "arguments", F.lit(True).alias("is_call"))
-    first_r = first_r.select(F.col("call_id").alias("r_id"), F.col("conv_id").alias("r_conv"), F.col("turn").alias("result_turn"), "content", F.lit(True).alias("is_result"))
-    both = cut(first_c.join(first_r, F.col("call_id") == F.col("r_id"), "full"))
-    ident = F.coalesce("call_id", "r_id")
-    linked = both.where("is_call and is_result")
-    edges = linked.select(F.concat(F.lit("c"), "call_id").alias("before"), F.concat(F.lit("r"), "call_id").alias("after"))
-    if depends is not None:
-        edges = edges.unionByName(depends.select(F.concat(F.lit("r"), "before").alias("before"), F.concat(F.lit("c"), "after").alias("after")))
-    named = both.where("is_call and call_id is not null").select(F.concat(F.lit("c"), "call_id").alias("id"), F.col("call_turn").alias("turn"))
-    named = named.unionByName(both.where("is_result and r_id is not null").select(F.concat(F.lit("r"), "r_id").alias("id"), F.col("result_turn").alias("turn")))
-    placed = places(named, edges).where("id like 'r%'").select(F.expr("substring(id, 2)").alias("_id"), F.col("turn").alias("result_place"), F.col("level").alias("result_level"))
-    out = both.join(placed, F.col("r_id") == F.col("_id"), "left")
+    (first_c, more_c), (first_r, more_r) = _firsts(c, ["turn", "name", "arguments"]), _firsts(r, ["turn", "content"])
+    first_c = first_c.select("conv_id", "call_id", F.col("turn").alias("call_turn"), "name", "arguments", F.lit(True).alias("is_call"))
+    first_r = first_r.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("result_turn"), "content", F.lit(True).alias("is_result"))
+    both = hash_join(first_r, first_c, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
     status = F.when(F.col("is_call") & F.col("is_result"), "linked").when(F.col("is_call"), "unanswered").otherwise("orphan")
-    record = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), ident.alias("id"), F.col("name"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
-    return out.select(
-        F.coalesce("c_conv", "r_conv").alias("conv_id"), ident.alias("call_id"), "call_turn", "result_turn", "result_place", "result_level",
-        status.alias("status"), (valid(F.col("name"), F.col("arguments"), schemas) & F.coalesce("is_call", F.lit(False))).alias("valid"), record.alias("record"),
-    )
+    both = both.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("call_id", "r_id").alias("call_id"), "call_turn", "name", "arguments", "result_turn", "content", status.alias("status"))
+    both = cut(both)
+    node = lambda kind, ident="call_id": F.struct("conv_id", F.col(ident).alias("call_id"), F.lit(kind).alias("kind"))
+    keyed = both.where("conv_id is not null and call_id is not null")
+    asked, answered = keyed.where("status <> 'orphan'"), keyed.where("status <> 'unanswered'")
+    edges = keyed.where("status = 'linked'").select(node("call").alias("before"), node("result").alias("after"))
+    if depends is not None:
+        edges = edges.unionByName(depends.where("conv_id is not null").select(node("result", "before").alias("before"), node("call", "after").alias("after")))
+    nodes = asked.select(node("call").alias("id"), F.col("call_turn").alias("turn")).unionByName(answered.select(node("result").alias("id"), F.col("result_turn").alias("turn")))
+    placed = places(nodes, edges).select("id.*", "turn", "level")
+    at = F.struct("turn", "level")
+    placed = placed.groupBy("conv_id", "call_id").agg(F.max(F.when(F.col("kind") == "call", at)).alias("c"), F.max(F.when(F.col("kind") == "result", at)).alias("r"))
+    placed = placed.select("conv_id", "call_id", F.col("c.turn").alias("call_place"), F.col("c.level").alias("call_level"), F.col("r.turn").alias("result_place"), F.col("r.level").alias("result_level"))
+    out = hash_join(both, placed, ["conv_id", "call_id"], "left")
+    out = out.unionByName(more_c.withColumnRenamed("turn", "call_turn").withColumn("status", F.lit("repeated_call")), allowMissingColumns=True)
+    out = out.unionByName(more_r.withColumnRenamed("turn", "result_turn").withColumn("status", F.lit("repeated_result")), allowMissingColumns=True)
+    record = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    return out.select("conv_id", "call_id", "call_turn", "result_turn", "call_place", "call_level", "result_place", "result_level", "status", valid(F.col("name"), F.col("arguments"), schemas).alias("valid"), record.alias("record"))

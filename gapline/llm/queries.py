@@ -11,7 +11,11 @@ from gapline.llm import chat, embedding_dedup, langid, minhash, mixing, packing,
 from gapline.llm.common import cut
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-CHAT_SCHEMAS = {"reply": {"required": ["text", "turn"], "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}
+CHAT_SCHEMAS = {
+    "reply": {"required": ["text", "turn"], "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0, "maximum": 5}}, "additionalProperties": False},
+    "search": {"required": ["limit", "query"], "properties": {"limit": {"type": "integer", "minimum": 1, "maximum": 30}, "query": {"type": "string", "minLength": 1, "maxLength": 160}}, "additionalProperties": False},
+}
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,16 +75,27 @@ def op7_minhash_near_dedup(spark, sf_dir):
 
 
 def op8_tool_call_linking(spark, sf_dir):
-    """User turns are calls of ``reply`` with their text; assistant turns are results of the turn before them.
+    """User turns are calls, of ``search`` if the text has a comma, else of ``reply``; assistant turns are results of the turn before them.
 
-    A turn with a null conversation or number has a null id. Turns of other roles (system, null) are neither and have no row.
+    Ids are those of turns, so they repeat in each conversation; a turn with a null conversation or number has a null id. Of two
+    calls in a row (two turns apart) the later one waits for the result of the earlier, but a search waits for the call after it
+    if that has the shorter text. Turns of other roles (system, null) are neither calls nor results.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    ident = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
-    arguments = F.to_json(F.struct("turn", F.col("text")))
-    calls = turns.where("role = 'user'").select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    ident = lambda turn: F.when(F.col("conv_id").isNotNull(), F.concat(F.lit("call_"), turn.cast("string")))
+    words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    search = F.coalesce(F.contains("text", F.lit(",")), F.lit(False))
+    name = F.when(search, "search").otherwise("reply")
+    arguments = F.when(search, F.to_json(F.struct(words.alias("limit"), F.col("text").alias("query")))).otherwise(F.to_json(F.struct("turn", "text")))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.length("text").alias("size"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return chat.link(calls, results, CHAT_SCHEMAS)
+    # of a turn given more than once the first by name and size counts
+    each = calls.where("call_id is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("name", F.coalesce("size", F.lit(0)).alias("size"))).alias("x")).select("conv_id", "turn", "x.*")
+    pairs = chat.hash_join(each, each.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("size").alias("next_size")), ["conv_id", "turn"])
+    this, after = (F.concat(F.lit("call_"), (F.col("turn") + k).cast("string")) for k in (0, 2))
+    back = (F.col("name") == "search") & (F.col("next_size") < F.col("size"))
+    depends = pairs.select("conv_id", F.when(back, after).otherwise(this).alias("before"), F.when(back, this).otherwise(after).alias("after"))
+    return chat.link(calls, results, CHAT_SCHEMAS, depends)
 
 
 def op9_packing(spark, sf_dir):
@@ -167,17 +182,42 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
 FROM k
 """,
     "op8_tool_call_linking": """
-WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
-c1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY turn, conv_id, text) = 1),
-r1 AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY turn, conv_id, text) = 1)
-SELECT coalesce(c1.conv_id, r1.conv_id) AS conv_id, coalesce(c1.call_id, r1.call_id) AS call_id, c1.turn AS call_turn, r1.turn AS result_turn,
-  r1.turn AS result_place, CASE WHEN r1.turn IS NOT NULL THEN 0::BIGINT END AS result_level,
-  CASE WHEN c1.call_id IS NULL THEN 'orphan' WHEN r1.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  c1.call_id IS NOT NULL AND c1.text IS NOT NULL AND len(c1.text) >= 1 AND c1.turn >= 0 AS valid,
-  '{"arguments":' || CASE WHEN c1.call_id IS NULL THEN 'null' WHEN c1.text IS NULL THEN '{"turn":' || c1.turn || '}' ELSE '{"text":' || to_json(c1.text)::VARCHAR || ',"turn":' || c1.turn || '}' END
-    || ',"id":' || to_json(coalesce(c1.call_id, r1.call_id))::VARCHAR || ',"name":' || CASE WHEN c1.call_id IS NULL THEN 'null' ELSE '"reply"' END
-    || ',"result":' || coalesce(to_json(r1.text)::VARCHAR, 'null') || '}' AS record
-FROM c1 FULL JOIN r1 ON c1.call_id = r1.call_id
+WITH RECURSIVE c0 AS (
+  SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL THEN 'call_' || turn END AS call_id, text, coalesce(contains(text, ','), false) AS search,
+    len(text) - len(replace(text, ' ', '')) + 1 AS words FROM conversations WHERE role = 'user'),
+c AS (
+  SELECT *, CASE WHEN search THEN 'search' ELSE 'reply' END AS name,
+    CASE WHEN search THEN '{"limit":' || words || ',"query":' || to_json(text)::VARCHAR || '}' WHEN text IS NULL THEN '{"turn":' || turn || '}'
+      ELSE '{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '}' END AS arguments,
+    CASE WHEN search THEN words <= 30 AND len(text) <= 160 ELSE coalesce(len(text) >= 1 AND turn BETWEEN 0 AND 5, false) END AS valid,
+    CASE WHEN call_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, CASE WHEN search THEN 'search' ELSE 'reply' END, text) END AS nth FROM c0),
+r0 AS (SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL THEN 'call_' || (turn - 1) END AS call_id, text FROM conversations WHERE role = 'assistant'),
+r AS (SELECT *, CASE WHEN call_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text) END AS nth FROM r0),
+x AS (
+  SELECT coalesce(c1.conv_id, r1.conv_id) AS conv_id, coalesce(c1.call_id, r1.call_id) AS call_id, c1.turn AS call_turn, r1.turn AS result_turn, c1.name, c1.arguments, r1.text AS content,
+    coalesce(c1.valid, false) AS valid, CASE WHEN c1.name IS NULL THEN 'orphan' WHEN r1.nth IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM (SELECT * FROM c WHERE nth = 1) c1 FULL JOIN (SELECT * FROM r WHERE nth = 1) r1 ON c1.conv_id = r1.conv_id AND c1.call_id = r1.call_id),
+e0 AS (SELECT conv_id, turn, min((CASE WHEN search THEN 1 ELSE 0 END) * 1000000000 + coalesce(len(text), 0)) AS k FROM c0 WHERE call_id IS NOT NULL GROUP BY ALL),
+dep AS (
+  SELECT a.conv_id, a.turn, a.k >= 1000000000 AND b.k % 1000000000 < a.k % 1000000000 AS back FROM e0 a JOIN e0 b ON a.conv_id = b.conv_id AND a.turn + 2 = b.turn),
+node AS (
+  SELECT conv_id || '|c' || call_id AS id, call_turn AS turn FROM x WHERE conv_id IS NOT NULL AND call_id IS NOT NULL AND call_turn IS NOT NULL
+  UNION ALL SELECT conv_id || '|r' || call_id, result_turn FROM x WHERE conv_id IS NOT NULL AND call_id IS NOT NULL AND result_turn IS NOT NULL),
+edge AS (
+  SELECT conv_id || '|c' || call_id AS a, conv_id || '|r' || call_id AS b FROM x WHERE status = 'linked'
+  UNION ALL SELECT conv_id || '|rcall_' || (turn + CASE WHEN back THEN 2 ELSE 0 END), conv_id || '|ccall_' || (turn + CASE WHEN back THEN 0 ELSE 2 END) FROM dep),
+walk AS (
+  SELECT id, turn AS top, 0::BIGINT AS far FROM node
+  UNION SELECT n.id, w.top, w.far + 1 FROM walk w JOIN edge e ON w.id = e.a JOIN node n ON n.id = e.b),
+place AS (SELECT id, max(top) AS turn, arg_max(far, (top, far)) AS level FROM walk GROUP BY id),
+every AS (
+  SELECT x.*, p.turn AS call_place, p.level AS call_level, q.turn AS result_place, q.level AS result_level FROM x
+  LEFT JOIN place p ON p.id = conv_id || '|c' || call_id LEFT JOIN place q ON q.id = conv_id || '|r' || call_id
+  UNION ALL BY NAME SELECT conv_id, call_id, turn AS call_turn, name, arguments, valid, 'repeated_call' AS status FROM c WHERE nth > 1
+  UNION ALL BY NAME SELECT conv_id, call_id, turn AS result_turn, text AS content, false AS valid, 'repeated_result' AS status FROM r WHERE nth > 1)
+SELECT conv_id, call_id, call_turn, result_turn, call_place, call_level, result_place, result_level, status, valid,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || coalesce(to_json(call_id)::VARCHAR, 'null') || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+    || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
+FROM every
 """,
 }

@@ -113,7 +113,7 @@ def test_linking_and_order(spark, clash):
     calls = clash(spark.createDataFrame([(1, 5, "x", "add", "{}"), (1, 7, "x", "add", "{}"), (1, 1, "y", "add", "{}"), (2, 0, None, "add", "{}"), (3, 0, "z", "add", "{}")], CALLS), ("status", "valid", "record", "x", "id"))
     results = spark.createDataFrame([(1, 2, "x", "early"), (1, 6, "y", "late"), (9, 0, "w", "stray"), (9, 0, None, None), (1, 6, "y", "later")], RESULTS)
     got = sorted(((str(r.call_id), r.status, r.call_turn, r.result_turn, r.result_place, r.result_level) for r in chat.link(calls, results, SCHEMAS).collect()), key=str)
-    assert got == sorted([("x", "linked", 5, 2, 5, 1), ("y", "linked", 1, 6, 6, 0), ("z", "unanswered", 0, None, None, None), ("None", "unanswered", 0, None, None, None), ("None", "orphan", None, 0, None, None), ("w", "orphan", None, 0, 0, 0)], key=str)
+    assert got == sorted([("x", "linked", 5, 2, 5, 1), ("y", "linked", 1, 6, 6, 0), ("z", "unanswered", 0, None, None, None), ("None", "unanswered", 0, None, None, None), ("None", "orphan", None, 0, None, None), ("w", "orphan", None, 0, 0, 0), ("x", "repeated_call", 7, None, None, None), ("y", "repeated_result", None, 6, None, None)], key=str)
 
 
 def test_turns_with_null_keys_stay_apart(spark, tmp_path):
@@ -121,7 +121,30 @@ def test_turns_with_null_keys_stay_apart(spark, tmp_path):
     rows = [(None, 3, "user", "a"), (None, 3, "user", "b"), (None, 4, "assistant", "c"), (5, None, "user", "d"), (None, 5, "user", "e"), (5, None, "assistant", "f"), (7, 0, "user", "g"), (7, 1, "assistant", "h")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["op8_tool_call_linking"](spark, str(tmp_path)).collect()
-    assert sorted((str(r.call_id), r.status) for r in got) == sorted([("None", "unanswered")] * 4 + [("None", "orphan")] * 2 + [("7:0", "linked")])
+    assert sorted((str(r.call_id), r.status) for r in got) == sorted([("None", "unanswered")] * 4 + [("None", "orphan")] * 2 + [("call_0", "linked")])
+
+
+def test_ids_count_inside_their_conversation(spark):
+    calls = spark.createDataFrame([(1, 0, "call_1", "add", "{}"), (2, 0, "call_1", "add", "{}"), (None, 0, "call_1", "add", "{}"), (3, 0, "call_1", "add", "n" * 300_000)], CALLS)
+    results = spark.createDataFrame([(1, 1, "call_1", "one"), (2, 1, "call_1", "two"), (None, 1, "call_1", "none"), (2, 2, "call_1", "two"), (2, 1, "call_1", "two")], RESULTS)
+    got = chat.link(calls, results, SCHEMAS).collect()
+    assert sorted((str(r.conv_id), r.status, json.loads(r.record)["result"]) for r in got) == sorted(
+        [("1", "linked", "one"), ("2", "linked", "two"), ("2", "repeated_result", "two"), ("2", "repeated_result", "two"), ("None", "unanswered", None), ("None", "orphan", "none"), ("3", "unanswered", None)], key=str
+    )
+
+
+def test_the_query_orders_and_rejects(spark, tiny):
+    """On the test tables the order has depth, and arguments of both tools fail and hold."""
+    rows = QUERIES["op8_tool_call_linking"](spark, tiny.replace("sf0.001", "sf0.01")).collect()
+    assert max(r.call_level or 0 for r in rows) > 1
+    assert any(r.call_place > r.call_turn for r in rows if r.call_place is not None)
+    assert {(json.loads(r.record)["name"], r.valid) for r in rows if r.status != "orphan"} >= {("search", True), ("search", False), ("reply", True)}
+
+
+def test_the_joins_hash(spark, tiny):
+    plan = QUERIES["op8_tool_call_linking"](spark, tiny)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan
+    assert "SortMergeJoin" not in plan
 
 
 def test_places_follow_dependencies(spark):
