@@ -41,30 +41,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int =
     return each.select("source", "source_size", F.least(F.col("stop").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def chance(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from a key, the same in every run: 52 bits of an MD5."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}"))
+def chance(ident: Column, digest: Column, seed: int) -> Column:
+    """A number in [0, 1) from an id and a text's digest, the same in every run: 52 bits of an MD5."""
+    text = F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit("|"), F.coalesce(digest, F.lit("")), F.lit(f"|{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: int = 6, id_col: str = "doc_id", size: Column | None = None) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: int = 6, id_col: str = "doc_id", size: Column | None = None, digest: Column | None = None) -> DataFrame:
     """``documents`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (size times copies) added.
 
-    ``size`` defaults to the words of ``text``. Columns of these names that are there already are replaced. Defined cases:
+    ``size`` defaults to the words of ``text`` and ``digest`` to its MD5. Columns of these names that are there already are replaced. Defined cases:
     null text and null source are size 0 and a source of their own (last); a source of size 0 takes none of its documents;
-    rows with the same id (and null ids among themselves) share one chance; an empty table gives an empty result.
+    rows with the same id and the same text share one chance (so do null ids with the same text); an empty table gives an empty result.
     """
     made = ("size", "source_size", "target", "copies", "taken")
-    docs = documents.withColumn("size", words(F.col("text")) if size is None else size)
+    own = F.md5("text") if digest is None else digest
+    docs = documents.withColumn("_chance", chance(F.col(id_col), own, seed)).withColumn("size", words(F.col("text")) if size is None else size)
     docs = docs.drop(*made[1:])
     goals = targets(docs.select("source", "size"), weights, limit)
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = goals.select(F.col("source").alias("_source"), "source_size", "target")
     docs = docs.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    more = chance(F.col(id_col), seed) < rate - F.floor(rate)
+    more = F.col("_chance") < rate - F.floor(rate)
     docs = docs.withColumn("copies", F.floor(rate) + F.when(more, 1).otherwise(0))
-    return docs.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).withColumn("copies", F.col("copies").cast("int"))
+    return docs.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).withColumn("copies", F.col("copies").cast("int")).drop("_chance")
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

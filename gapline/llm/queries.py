@@ -66,8 +66,8 @@ def op5_quality(spark, sf_dir):
 
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    sizes = cut(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
-    return mixing.mix(sizes, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = cut(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.md5("text").alias("digest")))
+    return mixing.mix(sizes, size=F.col("size"), digest=F.col("digest")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_minhash_near_dedup(spark, sf_dir):
@@ -147,7 +147,7 @@ FROM v JOIN c ON v.vec_id = c.a LEFT JOIN d ON v.vec_id = d.a
 """,
     "op6_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(text) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rn FROM d GROUP BY source),
 w AS (SELECT *, CASE (rn - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS stop FROM s),
@@ -160,7 +160,7 @@ t AS (SELECT w.source, w.source_size, least(w.stop::DOUBLE, l.level * w.weight)
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|6'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || coalesce(d.digest, '') || '|6'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """,
