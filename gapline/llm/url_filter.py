@@ -1,20 +1,26 @@
 """URL verdicts: fixed rules by longest match, and association rules mined by FP-growth, in DataFrame operations only.
 
-Labelled URLs become baskets of tokens plus the item of their label. FP-growth finds the frequent baskets; rules whose
-consequent is the blocking label and that reach the support, the confidence and a lift over 1 are kept. A rule is filed in an inverted
-index under its rarest token, so that very common tokens find few rules; a URL meets the rules of its tokens by an equi-join
-and matches those whose tokens it has all of.
+Labelled URLs become baskets of tokens plus the item of their label. Tokens that stand in exactly the same URLs are one item, so that
+a long URL that is seen often has no combinations of its own. FP-growth finds the combinations that reach a share and an absolute number
+of URLs; of the rules for the blocking label those are kept whose confidence is sure (the lower bound of its interval reaches
+the limit, so a few URLs alike prove nothing), whose lift is over 1, and that no shorter rule makes redundant. A rule is filed in
+an inverted index under its rarest token, so that very common tokens find few rules; a URL meets the rules of its tokens by
+an equi-join and matches those whose tokens it has all of.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.common import cut
 
-BLOCK, ALLOW = "label=block", "label=allow"
+BLOCK = "label=block"
+#: Between the tokens of an item.
+BAR = "\x1f"
 #: Fixed rules are one expression of the plan; longer lists belong in a table.
 MAX_RULES = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,25 +65,62 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5) -> DataFrame:
-    """Blocking rules from ``url`` and ``bad`` (boolean): ``items``, ``key`` (the rarest item), ``confidence``, ``support``.
+def sure(good: Column, all_of: Column, z: float) -> Column:
+    """The lower end of Wilson's interval of a share, ``z`` standard errors wide."""
+    p = good / all_of
+    return (p + z * z / (2 * all_of) - z * F.sqrt(p * (1 - p) / all_of + z * z / (4 * all_of * all_of))) / (1 + z * z / all_of)
+
+
+def merged(baskets: DataFrame, least: int) -> DataFrame:
+    """``item`` and ``freq`` of the tokens in at least ``least`` baskets (``id``, ``have``); tokens in exactly the same baskets are one item.
+
+    Two tokens are held equal by how many baskets they have and two hashes of those baskets' ids. An item is its tokens in order, with ``BAR`` between.
+    """
+    each = baskets.select("id", F.explode("have").alias("token"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), mark(1).alias("a"), mark(2).alias("b")).where(F.col("freq") >= least)
+    return marks.groupBy("freq", "a", "b").agg(F.array_join(F.array_sort(F.collect_set("token")), BAR).alias("item")).select("item", "freq")
+
+
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5, least: int = 30, z: float = 2.33) -> DataFrame:
+    """Blocking rules from ``url`` and ``bad`` (boolean): ``items``, ``key`` (a token of the rarest item; a row for each), ``confidence``, ``support``.
 
-    Null urls and null labels are left out; no labelled rows give no rules.
+    A rule holds for at least a share ``support`` and a number ``least`` of the labelled rows, and its confidence is at least ``confidence`` with ``z`` standard
+    errors to spare. A rule goes if one with fewer of its items is as confident. Tokens that the rows do not tell apart are one item, which a URL
+    has if it has any of them. Null urls and null labels are left out; no labelled rows, or fewer than ``least``, give no rules.
     """
-    baskets = labelled.where("url is not null and bad is not null").select(F.concat(tokens(F.col("url")), F.array(F.when(F.col("bad"), BLOCK).otherwise(ALLOW))).alias("items"))
-    baskets = cut(baskets)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") > 1) & ~F.array_contains("antecedent", ALLOW)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    rare = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    each = rules.withColumn("item", F.explode("items")).join(rare, "item")
-    return cut(each.groupBy("items", "confidence", "support").agg(F.min(F.struct("freq", "item")).getField("item").alias("key")))
+    rows = labelled.where("url is not null and bad is not null").groupBy("url", "bad").agg(F.count(F.lit(1)).alias("times"))
+    rows = cut(rows.withColumn("have", tokens(F.col("url"))).withColumn("id", F.monotonically_increasing_id()))
+    seen = rows.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("times"))), F.lit(0)).alias("bad")).first()
+    if seen.n < max(1, least):
+        return labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, key string")
+    need = math.ceil(max(support * seen.n, least) - 1e-9)
+    # a URL seen more than once counts as often
+    baskets = cut(rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(F.struct("id", "_i").alias("id"), "have", "bad"))
+    items = cut(merged(baskets, need))
+    first = items.select("item", F.split("item", BAR)[0].alias("token"))
+    named = baskets.select("id", "bad", F.explode("have").alias("token")).join(first, "token", "left").groupBy("id", "bad").agg(F.collect_list("item").alias("items"))
+    named = cut(named.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / named.count(), minConfidence=confidence).fit(named)
+    count = F.round(F.col("support") * named.count())
+    found = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence", (count / seen.n).alias("support"), count.alias("n"))
+    certain = sure(F.col("n"), F.round(F.col("n") / F.col("confidence")), z) >= confidence
+    found = cut(found.where((F.col("confidence") > seen.bad / seen.n) & certain))
+    # shorter rules are looked up by their first item
+    short = found.select(F.col("items")[0].alias("item"), F.col("items").alias("_items"), F.col("confidence").alias("_c"))
+    covers = (F.size("_items") < F.size("items")) & (F.col("_c") >= F.col("confidence") - 1e-12) & (F.size(F.array_except("_items", "items")) == 0)
+    beaten = found.select("items", "confidence", F.explode("items").alias("item")).join(short, "item").where(covers).select("items").distinct()
+    each = found.join(beaten, "items", "left_anti").withColumn("item", F.explode("items")).join(items, "item")
+    rules = each.groupBy("items", "confidence", "support").agg(F.min(F.struct("freq", "item")).getField("item").alias("rare"))
+    return cut(rules.withColumn("key", F.explode(F.split("rare", BAR))).drop("rare"))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``url`` and ``confidence`` (of the best rule) for each different url that a mined rule blocks."""
     each = urls.where("url is not null").select("url").distinct().withColumn("have", tokens(F.col("url")))
     met = each.withColumn("key", F.explode("have")).join(rules.select("key", "items", "confidence"), "key")
-    return met.where(F.size(F.array_except("items", "have")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    has_all = F.forall("items", lambda i: F.arrays_overlap(F.split(i, BAR), F.col("have")))
+    return met.where(has_all).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame) -> DataFrame:

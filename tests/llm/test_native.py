@@ -1,4 +1,7 @@
+import itertools
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +57,14 @@ def test_mix_corner_cases(spark, clash):
     assert out.count() == sum(r.copies for r in got)
 
 
+def test_null_ids_draw_by_their_texts(spark):
+    rows = [(None, f"a{i} b c d", "one") for i in range(400)] + [(i, "w " * 20, "two") for i in range(60)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'one'")
+    r = out.agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.countDistinct("copies").alias("n")).first()
+    assert r.n == 2
+    assert abs(r.taken / r.target - 1) < 0.1
+
+
 def test_taken_words_come_near_their_targets(spark, tiny):
     rows = QUERIES["op6_mixing"](spark, tiny.replace("sf0.001", "sf0.1"))
     by = rows.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
@@ -94,6 +105,63 @@ def test_mined_rules_block(spark):
     assert url_filter.mine(spark.createDataFrame([], "url string, bad boolean")).collect() == []
 
 
+def wilson(good, n, z):
+    p = good / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_the_whole_judgement_against_brute_force(spark):
+    """Rules by counting every set of tokens that labelled URLs have, then verdicts by trying every rule on every URL."""
+    rng = random.Random(4)
+    hosts, paths, ends = ["a.x.org", "b.x.org", "shop.y.net", "z.com"], ["/win/{}", "/en/{}", "/en/win-{}/more", "/img/{}.png"], ["", "?ref=1", "?page=2&ref=3", "#top"]
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(paths).format(rng.randrange(99))}{rng.choice(ends)}"
+    odds = lambda u: 0.9 if "win" in u and "ref" in u else 0.8 if "shop" in u and "img" in u else 0.1
+    labelled = [(u, rng.random() < odds(u)) for u in (url() for _ in range(500))]
+    labelled += [("https://hot.q.org/" + "/".join(f"part-{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)), True)] * 250  # a third of all, long
+    pages = [(i, url()) for i in range(120)] + [(500, labelled[-1][0]), (501, "https://hot.q.org/"), (502, None), (503, "http://example.com/en/win/1?ref=2")]
+    probe = spark.createDataFrame(pages, "page_id long, url string")
+    have = {r.url: frozenset(r.t) for r in spark.createDataFrame([(u,) for u, _ in labelled] + [(u,) for _, u in pages], "url string").distinct().select("url", url_filter.tokens(F.col("url")).alias("t")).collect()}
+    support, confidence, least, z = 0.02, 0.6, 20, 2.33
+    n, bad = len(labelled), sum(b for _, b in labelled)
+    need = max(math.ceil(support * n), least)
+    counts = {}
+    for u, b in labelled:
+        if "hot" in u:
+            continue  # its 130 tokens have too many sets to count; those it has alone are one item, counted below
+        for k in range(1, len(have[u]) + 1):
+            for some in itertools.combinations(sorted(have[u]), k):
+                c = counts.setdefault(frozenset(some), [0, 0])
+                c[0] += 1
+                c[1] += b
+    hot = have[labelled[-1][0]]
+    for some, c in counts.items():
+        if some <= hot:
+            c[0] += 250
+            c[1] += 250
+    rules = {s: c[1] / c[0] for s, c in counts.items() if c[1] >= need and c[1] / c[0] > bad / n and wilson(c[1], c[0], z) >= confidence}
+    rules |= {frozenset([t]): 1.0 for t in hot if frozenset([t]) not in counts}
+    assert any(len(s) > 1 for s in rules)
+    mined = url_filter.mine(spark.createDataFrame(labelled, "url string, bad boolean"), support, confidence, least, z)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.confidence and round(r.confidence, 9)) for r in url_filter.judge(probe, URL_RULES, mined).collect()}
+    for i, u in pages:
+        host, path, rule, verdict = brute_judge(u)
+        best = max((c for s, c in rules.items() if u and s <= have[u]), default=None) if rule is None else None
+        assert got[i] == (host, path, rule, "block" if best else verdict, best and round(best, 9)), u
+    # none of the rules says what a shorter one says, and each set counts what it claims
+    for r in mined.collect():
+        s = frozenset(x.split(url_filter.BAR)[0] for x in r["items"])
+        assert abs(r.confidence - rules[s]) < 1e-9
+        assert not any(o < s and rules[o] >= rules[s] for o in rules)
+
+
+def test_noise_gives_no_rules(spark):
+    """Labels that do not depend on the URL, at any number of rows."""
+    rng = random.Random(8)
+    for n in (40, 400, 4000):
+        rows = [(f"https://h{rng.randrange(30)}.s{rng.randrange(9)}.org/{rng.choice('abc')}/{i}", rng.random() < 0.25) for i in range(n)]
+        assert url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect() == []
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 SCHEMAS = {"add": {"required": ["a", "b"], "properties": {"a": {"type": "integer"}, "b": {"type": "number", "minimum": 0}, "note": {"type": "string", "minLength": 2}}, "additionalProperties": False}}
