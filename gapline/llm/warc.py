@@ -5,8 +5,10 @@ table in the shared folder, so any store that Spark writes will do and any execu
 payload of at least ``least`` bytes the smallest id is a ``response`` and the others are ``revisit`` records without payload.
 
 Reading parses the archives' bytes alone. Each archive yields one run of index entries, sorted where it is read by URL key
-and time; a range exchange cuts all runs at the same keys and each task merges its slices of the runs with a loser tree. Keys
-end in the page id, so a URL captured very often is cut as well.
+and time; a range exchange cuts all runs at the same keys, into so many ranges that each holds about ``ENTRIES`` entries however
+many there are, and each task merges its slices of the runs with a loser tree. Slices arrive in order and stay as they arrive, in
+columns; of each only the entries next to be merged are unpacked. Keys end in archive and offset, so a URL captured very
+often, or a row repeated very often, is cut as well.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ from gapline.llm.common import cut, long_texts
 
 EPOCH = datetime.datetime(2020, 1, 1)
 BROADCAST_REVISITS = 500_000
+#: Index entries in a range of the merge (some 15 MB in columns), and how many of a slice are unpacked at a time.
+ENTRIES, AHEAD = 50_000, 64
 #: For the Parquet table of archives: small row groups and pages, or its writer and reader hold many archives at a time.
 LARGE_VALUES = {"compression": "none", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 INDEX = "url_key string, captured string, page_id long, url string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -186,15 +193,38 @@ class LoserTree:
             self.winner = i
 
 
+def in_order(part: pa.RecordBatch) -> bool:
+    """Whether entries of one archive rise by ``order``, told from the columns in one pass."""
+    after, equal = None, None
+    ids = pc.fill_null(part.column("page_id"), -(2**63))
+    for column in (part.column("url_key").cast(pa.binary()), part.column("captured").cast(pa.binary()), ids, part.column("offset")):
+        x, y = column.slice(0, len(column) - 1), column.slice(1)
+        rises = pc.less(x, y)
+        after = rises if after is None else pc.or_(after, pc.and_(equal, rises))
+        equal = pc.equal(x, y) if equal is None else pc.and_(equal, pc.equal(x, y))
+    return pc.all(pc.or_(after, equal), min_count=0).as_py()
+
+
+def run_of(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The entries of one archive's slice, a few unpacked at a time; a slice that does not arrive in order is put in order first."""
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    whole = whole.to_batches()[0] if whole.num_rows else parts[0]
+    if not in_order(whole):
+        keys = [("url_key", "ascending"), ("captured", "ascending"), ("page_id", "ascending"), ("offset", "ascending")]
+        whole = whole.take(pc.sort_indices(whole, sort_keys=keys, null_placement="at_start"))
+    for i in range(0, whole.num_rows, AHEAD):
+        yield from zip(*(c.to_pylist() for c in whole.slice(i, AHEAD).columns), strict=True)
+
+
 def _merge(batches):
-    runs: dict[str, list] = {}
+    slices: dict[str, list[pa.RecordBatch]] = {}
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            runs.setdefault(row[4], []).append(row)
-    for r in runs.values():  # a slice of a sorted run; the exchange promises no order
-        r.sort(key=order)
+        name = b.column("archive")
+        at = [0, *(pc.indices_nonzero(pc.not_equal(name.slice(1), name.slice(0, len(name) - 1))).to_numpy() + 1).tolist(), len(name)] if len(name) else []
+        for i, j in itertools.pairwise(at):
+            slices.setdefault(name[i].as_py(), []).append(b.slice(i, j - i))
     out = []
-    for entry in LoserTree([runs[k] for k in sorted(runs)], order):
+    for entry in LoserTree([run_of(slices[k]) for k in sorted(slices)], order):
         out.append(entry)
         if len(out) == 20_000:
             yield _batch(out)
@@ -224,9 +254,13 @@ def capture_runs(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(_read, INDEX)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """All runs in one order, by URL key, time and page id: over the partitions and inside each."""
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, INDEX)
+def merge_runs(runs: DataFrame, entries: int = ENTRIES) -> DataFrame:
+    """All runs in one order, by URL key, time and page id: over the partitions and inside each.
+
+    ``runs`` is read twice, first to count it: ranges hold about ``entries`` entries each, so what a task holds does not grow with the input.
+    """
+    ranges = max(1, math.ceil(runs.count() / entries))
+    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "offset").mapInArrow(_merge, INDEX)
 
 
 def captures(pages: DataFrame, least: int = 100, archive_bytes: int = 1_000_000) -> DataFrame:
