@@ -75,6 +75,60 @@ def test_rare_languages_have_letters_and_calibration(spark):
     assert [r.lang_pred for r in langid.identify(probe, model).orderBy("doc_id").collect()] == ["el", "th", "en"]
 
 
+def brute_models(texts, classes):
+    """Kneser-Ney by dictionaries: of each order the counts, of lower orders how many letters a gram follows."""
+    grams = []
+    for t in texts:
+        kinds = [int(classes[ord(c)]) for c in t.lower()] + [langid.EDGE]
+        # of a run of other characters the one before a letter stays, and the text's end
+        row = [langid.EDGE] * (langid.ORDER - 1)
+        row += [k for i, k in enumerate(kinds) if k != langid.EDGE or i == len(kinds) - 1 or kinds[i + 1] != langid.EDGE]
+        grams += [tuple(row[i : i + langid.ORDER]) for i in range(len(row) - langid.ORDER + 1)]
+    counts = {langid.ORDER: Counter(grams)}
+    for k in range(langid.ORDER - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    return grams, counts
+
+
+def brute_probability(counts, gram):
+    """From letters alike up to the whole gram, each order interpolated with the one below."""
+    p = 1 / (1 << langid.BITS)
+    for k in range(1, langid.ORDER + 1):
+        c = counts[k]
+        one, two = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = one / (one + 2 * two) if one and two else 0.5
+        part = gram[-k:]
+        same = {g: n for g, n in c.items() if g[:-1] == part[:-1]}
+        if total := sum(same.values()):
+            p = max(same.get(part, 0) - d, 0) / total + d * len(same) / total * p
+    return p
+
+
+def test_cross_entropy_against_brute_force():
+    classes = langid.letter_classes([ord(c) for c in "abcdeé"])
+    train = ["abcabcabd ace, bad", "bcd  abcab é!", "eee abc", "xyz abc"]
+    gram, _ = langid.codes(train, classes)
+    model = langid.kneser_ney(*np.unique(gram, return_counts=True))
+    _, counts = brute_models(train, classes)
+    for text in ["abc", "dab bad ace", "éé x q", "", "...", "A-b"]:
+        grams, _ = brute_models([text], classes)
+        want = -sum(math.log(brute_probability(counts, g)) for g in grams) / len(grams)
+        assert math.isclose(langid.cross_entropies([text], classes, [model])[0, 0], want, rel_tol=1e-9)
+
+
+def test_unseen_scripts_are_rejected(spark, docs):
+    model = langid.train(docs.select("text", "lang"))
+    texts = ["Καλημέρα κόσμε, τι κάνεις σήμερα", "Съешь же ещё этих мягких французских булок", "日本語の文章です、元気ですか", "สวัสดีชาวโลกทุกคน"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert all(r.rejected for r in got)
+
+
+def test_equal_cross_entropies_go_to_the_first_name(spark):
+    model = langid.train(spark.createDataFrame([("ein zwei drei", "b"), ("ein zwei drei", "a")], "text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(1, "zwei ein")], "doc_id long, text string"), model).first()
+    assert (got.lang_pred, got.score) == ("a", 0.5)
+
+
 def test_quality_held_out(spark, tiny):
     marks = spark.read.parquet(f"{tiny}/labels.parquet")
     got = QUERIES["op5_quality"](spark, tiny).join(marks, "doc_id").where("held_out").toPandas()
@@ -91,7 +145,7 @@ def test_votes_against_brute_force(spark, docs, tiny):
         v = quality.embed(quality.look([t]), model)[0].astype(float)
         s = points @ v
         best = np.argsort(-s)[:7]
-        w = np.maximum(s[best], 0) ** 8
+        w = np.maximum(s[best], 0) ** quality.SHARPNESS
         assert abs(got[i] - (w * model["label"][best]).sum() / w.sum()) < 1e-3
 
 
@@ -101,6 +155,18 @@ def test_features_by_hand():
     assert sorted(Counter(row[0][row[0] > 0].tolist()).items()) == [(1.0, 2), (2.0, 1)]
 
 
+def test_shapes_and_occurrences_by_hand():
+    same = quality.shapes(["abc Def 12!", "xyz Qrs 98!", "abc def 12!", None])
+    assert (same[0] == same[1]).all()
+    assert (same[0] != same[2]).any()
+    assert same.sum(axis=1).tolist() == [9, 9, 9, 0]
+    row = quality.occurrences(["a a b a a a c", "", None, "x"])
+    assert row[0][:4].tolist() == [3, 1, 2, 1]
+    assert row[0][-2:].tolist() == [3, 4]
+    assert row[1:3].sum() == 0
+    assert row[3][0] == 1
+
+
 def test_quality_corner_cases(spark, docs, tiny, clash):
     marks = spark.read.parquet(f"{tiny}/labels.parquet")
     model = quality.fit(docs, marks)
