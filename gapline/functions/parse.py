@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gapline.functions import text as X
 from gapline.functions.text import missing_like
 
 
@@ -56,23 +57,53 @@ def coordinate(c: Column) -> Column:
     return F.struct(F.when(ok, lat).alias("latitude"), F.when(ok, lon).alias("longitude"), ok.alias("parsing_success"), gone.alias("is_missing"), error.alias("error"))
 
 
+#: Layouts of absolute dates, each with the shape a text must have to be tried with it.
+LAYOUTS = {
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4,}-\d\d-\d\d \d\d:", "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4,}-\d\d-\d\dT", "yyyy-MM-dd": r"^\d{4,}-\d\d-\d\d$", "yyyy/MM/dd": r"^\d{4,}/\d\d/\d\d$",
+    "MM/dd/yyyy": r"^\d\d/\d\d/\d{4,}$", "d MMM yyyy": r"^\d+ \w{3} \d{4,}$", "MMM d, yyyy": r"^\w{3} \d+, \d{4,}$",
+}
+SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400, "month": 30 * 86400, "year": 365 * 86400}
+
+
+def _absolute(c: Column) -> Column:
+    """Layouts exclude each other by shape, so a text is parsed at most once."""
+    out = F.lit(None).cast("timestamp")
+    for layout, shape in LAYOUTS.items():
+        out = F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout))).otherwise(out)
+    return out
+
+
+def _back(c: Column) -> Column:
+    """Seconds that "N units ago" or yesterday lie back; null for other texts."""
+
+    def of(found: Column) -> Column:
+        unit = F.get(found, F.lit(1))
+        seconds = F.lit(None).cast("int")
+        for name, n in SECONDS.items():
+            seconds = F.when(unit == name, n).otherwise(seconds)
+        return F.coalesce(F.get(found, F.lit(0)).try_cast("double"), F.lit(1.0)) * seconds
+
+    found = lambda t: F.split(F.regexp_extract(t, r"((?:\d+|a|an|one)\s+(?:day|week|month|year|hour|minute))s?\s+ago", 1), r"\s+")
+    return X.bind(F.lower(c), lambda t: F.coalesce(F.when(t.contains("ago"), X.bind(found(t), of)), F.when(t.contains("yesterday"), F.lit(86400.0))))
+
+
 def review_date(published: Column, collected: Column) -> Column:
     """review_date, is_inferred, source: an absolute date, else "N units ago" counted back from ``collected`` (months of 30 days,
     years of 365), else ``collected`` where nothing was published. ``published`` is clean text, ``collected`` a timestamp.
     """
-    absolute = F.coalesce(*[F.try_to_timestamp(published, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "MMM d, yyyy")])
-    ago = r"(\d+|a|an|one)\s+(day|week|month|year|hour|minute)s?\s+ago"
-    low = F.lower(published)
-    amount = F.regexp_extract(low, ago, 1)
-    n = F.coalesce(amount.try_cast("double"), F.lit(1.0))
-    unit = F.regexp_extract(low, ago, 2)
-    seconds = F.when(unit == "minute", 60).when(unit == "hour", 3600).when(unit == "day", 86400).when(unit == "week", 7 * 86400).when(unit == "month", 30 * 86400).when(unit == "year", 365 * 86400)
-    back = F.when(unit != "", n * seconds).when(low.contains("yesterday"), F.lit(86400.0))
-    relative = F.to_date(F.timestamp_seconds(F.unix_timestamp(collected.cast("timestamp")) - back))
-    fallback = published.isNull() & collected.isNotNull()
-    source = F.when(fallback, "collect_date_fallback").when(published.isNull(), F.lit(None)).when(absolute.isNotNull(), "published_at_absolute").when(relative.isNotNull(), "published_at_relative_to_collect_date").otherwise("unparsed")
-    date = F.when(fallback, F.to_date(collected)).otherwise(F.coalesce(F.to_date(absolute), relative))
-    return F.struct(date.alias("review_date"), (date.isNotNull() & absolute.isNull()).alias("is_inferred"), source.alias("source"))
+
+    def told(x: Column) -> Column:
+        relative = F.to_date(F.timestamp_seconds(F.unix_timestamp(x.collected) - x.back))
+        return X.bind(F.struct(x.published.isNull().alias("gone"), F.to_date(x.absolute).alias("absolute"), relative.alias("relative"), x.collected.alias("collected")), dated)
+
+    def dated(x: Column) -> Column:
+        fallback = x.gone & x.collected.isNotNull()
+        source = F.when(fallback, "collect_date_fallback").when(x.gone, F.lit(None)).when(x.absolute.isNotNull(), "published_at_absolute").when(x.relative.isNotNull(), "published_at_relative_to_collect_date").otherwise("unparsed")
+        date = F.when(fallback, F.to_date(x.collected)).otherwise(F.coalesce(x.absolute, x.relative))
+        return F.struct(date.alias("review_date"), (date.isNotNull() & x.absolute.isNull()).alias("is_inferred"), source.alias("source"))
+
+    parts = lambda p: F.struct(p.alias("published"), _absolute(p).alias("absolute"), _back(p).alias("back"), collected.cast("timestamp").alias("collected"))
+    return X.bind(published, lambda p: X.bind(parts(p), told))
 
 
 def weak_label(c: Column) -> Column:

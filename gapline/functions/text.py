@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -39,6 +40,15 @@ def nfkc(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often ``body`` names it.
+
+    The optimizer writes an expression out wherever its column is named, so a chain of named steps can grow without bound; the
+    variable of a lambda stays one.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(words: list[str]) -> str:
     return "|".join(words)
 

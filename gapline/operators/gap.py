@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.functions import score as S
+from gapline.operators.graph import discard, materialise
+from gapline.operators.metrics import ranked
 
 METADATA = ["category", "place_type", "address", "lat", "lon", "rating", "status", "price_text", "facility_text"]
 
@@ -21,16 +23,24 @@ def place_facts(places: DataFrame, reviews: DataFrame, as_of: datetime.date) ->
     return out.withColumn("rating_gap", S.rating_gap(F.col("rating"))).withColumn("recency", S.recency(F.col("latest"), F.lit(as_of)))
 
 
+FEW = 10_000
+
+
 def gap_scores(places: DataFrame, reviews: DataFrame, mentions: DataFrame, aspects: DataFrame, scarcity: DataFrame, as_of: datetime.date) -> DataFrame:
     """One row per (place, aspect) that is mentioned or whose place has enough reviews, with all components and a rank.
 
-    ``mentions`` (place_id, aspect, negative) is aggregated once; the cross product is of places and the few aspects, and the
-    global largest count is one broadcast row. Rank orders by score, negative and all mentions, then place and aspect.
+    ``mentions`` (place_id, aspect, negative) and the facts of places are aggregated once and kept as tables, and so are the scored rows that the rank
+    is made from. Aspects are broadcast up to ``FEW`` of them; beyond, the product is made by a join. The global largest count is one
+    broadcast row. Rank orders by score, negative and all mentions, then place and aspect.
     """
     counts = mentions.groupBy("place_id", "aspect").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("negative").alias("negatives"))
+    counts = materialise(counts)
     most = counts.agg(F.greatest(F.coalesce(F.max("mentions"), F.lit(0)), F.lit(1)).alias("most"))
     facts = place_facts(places, reviews, as_of).join(scarcity.select(F.col("id").alias("place_id"), "scarcity"), "place_id", "left")
-    rows = facts.crossJoin(F.broadcast(aspects.select("aspect"))).join(counts, ["place_id", "aspect"], "left").fillna(0, ["mentions", "negatives"])
+    facts = materialise(facts)
+    names = materialise(aspects.select("aspect").distinct())
+    side = F.broadcast(names) if names.count() <= FEW else names
+    rows = facts.crossJoin(side).join(counts, ["place_id", "aspect"], "left").fillna(0, ["mentions", "negatives"])
     rows = rows.where((F.col("mentions") > 0) | (F.col("review_count") >= S.REVIEW_FLOOR)).crossJoin(F.broadcast(most))
     rows = rows.withColumn("rate", S.smoothed_rate(F.col("negatives"), F.col("mentions")))
     rows = rows.withColumn("frequency", S.clamp(F.col("mentions") / F.greatest(F.col("review_count"), F.lit(1)).cast("double")))
@@ -44,18 +54,6 @@ def gap_scores(places: DataFrame, reviews: DataFrame, mentions: DataFrame, aspec
         rows = rows.withColumn(c, S.half_up(F.col(c), 6))
     rows = rows.withColumn("priority", S.priority(F.col("score")))
     rows = rows.withColumn("reasons", F.array_join(S.reason_codes(F.col("rate"), F.col("frequency"), F.col("scarcity"), F.col("volume"), F.col("reliability")), "|"))
-    return ranked(rows.drop("most", "latest"), "score", ["negatives", "mentions"], ["place_id", "aspect"])
-
-
-def ranked(rows: DataFrame, score: str, more: list[str], ties: list[str]) -> DataFrame:
-    """``rank`` by ``score`` and ``more`` descending, then ``ties``, without an ordering of all rows in one task.
-
-    Scores lie in 0..100. Rows are ranked inside tenths of a point; a tenth starts after all rows of higher tenths, which a
-    running sum over the thousand tenths tells.
-    """
-    rows = rows.withColumn("_tenth", F.floor(F.col(score) * 10.0).cast("int"))
-    above = Window.orderBy(F.desc("_tenth")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_tenth").agg(F.count(F.lit(1)).alias("_n")).select("_tenth", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    inside = Window.partitionBy("_tenth").orderBy(*[F.desc(c) for c in (score, *more)], *ties)
-    out = rows.join(F.broadcast(starts), "_tenth").withColumn("rank", (F.col("_above") + F.row_number().over(inside)).cast("long"))
-    return out.drop("_tenth", "_above")
+    rows = materialise(rows.drop("most", "latest"))
+    discard(counts, facts, names)
+    return ranked(rows, "score", ["negatives", "mentions"], ["place_id", "aspect"])

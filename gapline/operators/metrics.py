@@ -44,15 +44,59 @@ def choose_threshold(sweep: DataFrame, floor: float) -> DataFrame:
     return sweep.orderBy(*order).limit(1)
 
 
-def average_precision(df: DataFrame, truth: str, p: str, by: list[str] | None = None) -> DataFrame:
-    """Average precision; equal scores are one threshold. Cumulates over distinct scores, not over rows."""
+def _running(each: DataFrame, by: list[str], p: str, sums: list[str]) -> DataFrame:
+    """``each`` (a row per distinct ``p``) with the running sums of ``sums`` from the largest ``p`` down, named ``upto_`` them.
+
+    Rows add up inside thousandths of the score and a thousandth starts from the sum of all higher ones, so no task orders all scores.
+    """
+    each = each.withColumn("_step", F.floor(F.col(p) * 1000.0))
+    steps = each.groupBy(*by, "_step").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    above = Window.partitionBy(*by).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    steps = steps.select(*by, "_step", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_above_{c}") for c in sums], *[F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_step").orderBy(F.desc(p))
+    joined = each.alias("e").join(steps.alias("s"), [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "_step")])
+    out = joined.select("e.*", *[F.col(f"s.{x}{c}") for c in sums for x in ("_above_", "all_")])
+    return out.withColumns({f"upto_{c}": F.col(f"_above_{c}") + F.sum(c).over(inside) for c in sums}).drop("_step", *[f"_above_{c}" for c in sums])
+
+
+def pr_curve(df: DataFrame, truth: str, p: str, by: list[str] | None = None) -> DataFrame:
+    """Precision and recall with every distinct score as the threshold (rows with that score or more are predicted)."""
     by = by or []
     each = df.groupBy(*by, p).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(p))
-    every = Window.partitionBy(*by)
-    part = each.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w)).withColumn("all", F.sum("pos").over(every))
-    step = ratio(F.col("pos"), F.col("all")) * ratio(F.col("tp"), F.col("seen"))
-    return part.groupBy(*by).agg(F.sum(step).alias("average_precision")) if by else part.agg(F.sum(step).alias("average_precision"))
+    part = _running(each, by, p, ["pos", "n"])
+    return part.select(*by, F.col(p).alias("threshold"), "pos", ratio(F.col("upto_pos"), F.col("upto_n")).alias("precision"), ratio(F.col("upto_pos"), F.col("all_pos")).alias("recall"), "all_pos")
+
+
+def average_precision(df: DataFrame, truth: str, p: str, by: list[str] | None = None) -> DataFrame:
+    """Average precision: the sum of precision times the step in recall over distinct scores; equal scores are one threshold."""
+    by = by or []
+    part = pr_curve(df, truth, p, by).withColumn("_step", ratio(F.col("pos"), F.col("all_pos")) * F.col("precision"))
+    return part.groupBy(*by).agg(F.sum("_step").alias("average_precision")) if by else part.agg(F.sum("_step").alias("average_precision"))
+
+
+def quantile_bins(df: DataFrame, p: str, ties: list[str], bins: int = 10) -> DataFrame:
+    """``df`` with ``bin`` from 1: equal numbers of rows by ``p`` and ``ties``, the first bins one larger where they don't divide."""
+    ranked_rows = ranked(df.withColumn("_s", 100.0 - 100.0 * F.col(p)).withColumn("_n", -F.col(p)), "_s", ["_n"], ties)
+    size = df.agg(F.count(F.lit(1)).alias("_all"))
+    at, q, more = F.col("rank") - 1, F.floor(F.col("_all") / bins), F.col("_all") % bins
+    wide = at < more * (q + 1)
+    place = F.when(wide, F.floor(at / (q + 1))).otherwise(more + F.floor((at - more * (q + 1)) / F.greatest(q, F.lit(1))))
+    return ranked_rows.crossJoin(F.broadcast(size)).withColumn("bin", (place + 1).cast("int")).drop("_s", "_n", "_all", "rank")
+
+
+def ranked(rows: DataFrame, score: str, more: list[str], ties: list[str]) -> DataFrame:
+    """``rank`` by ``score`` and ``more`` descending, then ``ties``, without an ordering of all rows in one task.
+
+    Scores lie in 0..100. Rows are ranked inside tenths of a point; a tenth starts after all rows of higher tenths, which a
+    running sum over the thousand tenths tells.
+    """
+    rows = rows.withColumn("_tenth", F.floor(F.col(score) * 10.0).cast("int"))
+    above = Window.orderBy(F.desc("_tenth")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_tenth").agg(F.count(F.lit(1)).alias("_n_rows")).select("_tenth", F.coalesce(F.sum("_n_rows").over(above), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy("_tenth").orderBy(*[F.desc(c) for c in (score, *more)], *ties)
+    out = rows.join(F.broadcast(starts), "_tenth").withColumn("rank", (F.col("_above") + F.row_number().over(inside)).cast("long"))
+    return out.drop("_tenth", "_above")
 
 
 def multiclass(df: DataFrame, truth: str, predicted: str) -> DataFrame:

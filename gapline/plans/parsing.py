@@ -16,12 +16,12 @@ def squeeze(e: str) -> str:
     return f"trim(regexp_replace(regexp_replace({e}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-DIRTY = "dirty AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN ' n/a ' WHEN 1 THEN NULL WHEN 2 THEN '  ' || substr(text, 1, 60) || chr(9) || '  x ' ELSE text END AS raw FROM documents)"
+DIRTY = "dirty AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN ' n/a ' WHEN 1 THEN NULL WHEN 2 THEN '  ' || text || chr(9) || '  x ' ELSE text END AS raw FROM documents)"
 
 
 def dirty(spark, d):
     docs, k = st.table(spark, d, "documents"), F.col("doc_id") % 9
-    raw = F.when(k == 0, " n/a ").when(k == 1, F.lit(None)).when(k == 2, F.concat(F.lit("  "), F.substring("text", 1, 60), F.lit("\t  x "))).otherwise(F.col("text"))
+    raw = F.when(k == 0, " n/a ").when(k == 1, F.lit(None)).when(k == 2, F.concat(F.lit("  "), F.col("text"), F.lit("\t  x "))).otherwise(F.col("text"))
     return docs.select("doc_id", raw.alias("raw"))
 
 
@@ -155,12 +155,13 @@ def error_tags(spark, d):
 
 
 PHONE_SQL = r"(^|[^0-9])(?:\+?62|0)[\s.-]?(?:[0-9][\s.-]?){8,13}($|[^0-9])"
-PRIVATE = "priv AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'hub 0812-3456-7890 / A.b@c.co.id  ' || substr(text, 1, 90) WHEN 1 THEN '+62 812 3456 789, ' || substr(text, 1, 40) WHEN 2 THEN substr(text, 1, 120) WHEN 3 THEN 'lihat HTTPS://x.id ' || substr(text, 1, 50) ELSE text END AS text FROM documents)"
+PRIVATE = "priv AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'hub 0812-3456-7890 / A.b@c.co.id  ' || text WHEN 1 THEN '+62 812 3456 789, ' || text WHEN 2 THEN text || ' (a_1@b-c.org, 0812 999 888 77)' WHEN 3 THEN 'lihat HTTPS://x.id ' || text ELSE text END AS text FROM documents)"
 
 
 def private(spark, d):
-    k, head = F.col("doc_id") % 7, lambda n: F.substring("text", 1, n)
-    text = F.when(k == 0, F.concat(F.lit("hub 0812-3456-7890 / A.b@c.co.id  "), head(90))).when(k == 1, F.concat(F.lit("+62 812 3456 789, "), head(40))).when(k == 2, head(120)).when(k == 3, F.concat(F.lit("lihat HTTPS://x.id "), head(50))).otherwise(F.col("text"))
+    k, text = F.col("doc_id") % 7, F.col("text")
+    tail = F.lit(" (a_1@b-c.org, 0812 999 888 77)")
+    text = F.when(k == 0, F.concat(F.lit("hub 0812-3456-7890 / A.b@c.co.id  "), text)).when(k == 1, F.concat(F.lit("+62 812 3456 789, "), text)).when(k == 2, F.concat(text, tail)).when(k == 3, F.concat(F.lit("lihat HTTPS://x.id "), text)).otherwise(text)
     return st.table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 

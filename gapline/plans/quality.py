@@ -231,10 +231,7 @@ def slice_metrics(spark, d):
 
 @query(f"WITH {GOLD}, b AS (SELECT y, p, ntile(10) OVER (ORDER BY p, doc_id) AS bin FROM gold) SELECT bin::INT AS bin, count(*) AS n, {r('avg(p)', 6)} AS predicted, {r('avg(y)', 6)} AS observed FROM b GROUP BY 1")
 def calibration_bins(spark, d):
-    from pyspark.sql import Window
-
-    # the gold set is human-made and small
-    bins = gold(spark, d).withColumn("bin", F.ntile(10).over(Window.orderBy("p", "doc_id")))
+    bins = M.quantile_bins(gold(spark, d), "p", ["doc_id"])
     return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), S.half_up(F.avg("p"), 6).alias("predicted"), S.half_up(F.avg("y"), 6).alias("observed"))
 
 

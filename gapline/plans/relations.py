@@ -103,11 +103,14 @@ def gold_regression_diff(spark, d):
     return st.table(spark, d, "labels").select("doc_id").exceptAll(kept).distinct()
 
 
-@query("WITH s AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 4 < 2 AND doc_id < 400), t AS (SELECT source, count(DISTINCT lang) AS sheets, min(lang) AS only_in FROM s GROUP BY 1) SELECT source, sheets, CASE WHEN sheets = 1 THEN only_in END AS only_in FROM t")
+@query(r"""WITH s AS (SELECT regexp_extract(url, '://([^/?#]*)/([a-z]+)/', 1) AS name, regexp_extract(url, '://([^/?#]*)/([a-z]+)/', 2) AS sheet FROM pages),
+  t AS (SELECT name, count(DISTINCT sheet) AS sheets, min(sheet) AS one FROM s WHERE name <> '' GROUP BY 1) SELECT name, sheets, CASE WHEN sheets = 1 THEN one END AS only_in FROM t""")
 def only_here_names(spark, d):
-    rows = st.table(spark, d, "documents").where("doc_id % 4 < 2 and doc_id < 400")
-    seen = rows.groupBy("source").agg(F.countDistinct("lang").alias("sheets"), F.min("lang").alias("one"))
-    return seen.select("source", "sheets", F.when(F.col("sheets") == 1, F.col("one")).alias("only_in"))
+    """Names (hosts) and the sheet (section) they stand in, if they stand in one alone."""
+    part = lambda i: F.regexp_extract("url", r"://([^/?#]*)/([a-z]+)/", i)
+    rows = st.table(spark, d, "pages").select(part(1).alias("name"), part(2).alias("sheet")).where("name <> ''")
+    seen = rows.groupBy("name").agg(F.countDistinct("sheet").alias("sheets"), F.min("sheet").alias("one"))
+    return seen.select("name", "sheets", F.when(F.col("sheets") == 1, F.col("one")).alias("only_in"))
 
 
 SPLIT = "split AS (SELECT doc_id, quality, ['train', 'validation', 'test'][(doc_id % 7 // 3)::INT + 1] AS split, source FROM labels JOIN documents USING (doc_id))"

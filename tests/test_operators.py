@@ -72,6 +72,57 @@ def test_dbscan_fixture(spark):
     assert [r.cluster for r in spatial.dbscan(df, 1.0, 2).orderBy("id").collect()] == [0, 0, 0, -1]
 
 
+@pytest.mark.parametrize("where", ["repeated", "meridian", "north"])
+def test_dbscan_in_odd_places(spark, where):
+    """Many points on one spot and around it, clusters over the 180th meridian, and far from the equator."""
+    rng = random.Random(6)
+    spots = {"repeated": lambda: (2.0, 99.0) if rng.random() < 0.4 else (2 + rng.random() * 0.2, 99 + rng.random() * 0.2), "meridian": lambda: (rng.random() * 0.3, (179.85 + rng.random() * 0.3 + 180) % 360 - 180), "north": lambda: (68 + rng.random() * 0.3, 20 + rng.random() * 0.8)}
+    points = [spots[where]() for _ in range(110)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lat double, lon double")
+    got = {r.id: r.cluster for r in spatial.dbscan(df, 3.0, 4).collect()}
+    assert [got[i] for i in range(len(points))] == brute_dbscan(points, 3.0, 4)
+
+
+def test_pairs_over_the_meridian(spark):
+    df = spark.createDataFrame([(1, 0.0, 179.995), (2, 0.0, -179.995), (3, 0.0, 179.0)], "id long, lat double, lon double")
+    assert sorted((r.a, r.b) for r in spatial.pairs_within(df, 2.0).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+    wide = spark.createDataFrame([(1, 89.9, 0.0), (2, 89.9, 179.0), (3, 89.9, -90.0)], "id long, lat double, lon double")
+    assert sorted((r.a, r.b) for r in spatial.pairs_within(wide, 300.0).collect()) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
+
+
+def test_precision_recall_curve(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(2), round(rng.random(), 2)) for _ in range(200)]
+    got = {r.threshold: (r.precision, r.recall) for r in metrics.pr_curve(spark.createDataFrame(rows, "y int, p double"), "y", "p").collect()}
+    total = sum(y for y, _ in rows)
+    for t in {p for _, p in rows}:
+        chosen = [y for y, p in rows if p >= t]
+        assert got[t] == pytest.approx((sum(chosen) / len(chosen), sum(chosen) / total))
+
+
+@pytest.mark.parametrize("n", [3, 10, 27, 100])
+def test_quantile_bins(spark, n):
+    rng = random.Random(n)
+    rows = [(i, rng.choice([0.1, 0.2, rng.random()])) for i in range(n)]
+    got = {r.id: r.bin for r in metrics.quantile_bins(spark.createDataFrame(rows, "id long, p double"), "p", ["id"]).collect()}
+    want = {}
+    for at, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
+        q, more = divmod(n, 10)
+        want[i] = at // (q + 1) + 1 if at < more * (q + 1) else more + (at - more * (q + 1)) // q + 1
+    assert got == want
+
+
+def test_plans_name_texts_once(spark, tiny):
+    """Aspect detection and date parsing compute each normalised value in one place of the plan."""
+    from gapline.plans import QUERIES
+
+    plan = lambda q: QUERIES[q](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    for q in ("aspect_coverage", "weak_aspects", "tag_histogram"):
+        assert plan(q).lower().count("regexp_replace") <= 4
+        assert "rlike" not in plan(q).lower()
+    assert plan("parse_review_date").lower().count("rlike") <= 9
+
+
 def test_scarcity_corners(spark):
     df = spark.createDataFrame([(1, 2.0, 99.0, "a"), (2, 2.001, 99.0, "a"), (3, None, 99.0, "a"), (4, 2.0, 99.0, None)], "id long, lat double, lon double, category string")
     assert {r.id: (r.density, r.scarcity) for r in spatial.scarcity(df, 5).collect()} == {1: (1, 0.0), 2: (1, 0.0), 3: (0, 1.0), 4: (-1, 1.0)}
