@@ -26,6 +26,8 @@ SARCASM = ["mantap sekali", "bagus sekali"]
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE = r"(?<!\d)(?:\+?62|0)[\s.-]?(?:\d[\s.-]?){8,13}(?!\d)"
 URL = r"(?i)https?://|www\."
+# The same matches, tried only where a run of such letters begins: long runs without an @ stay linear.
+EMAIL_START = r"(?<![A-Za-z0-9._%+-])" + EMAIL
 EMAIL_HIDDEN, PHONE_HIDDEN = "[email disamarkan]", "[nomor disamarkan]"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -145,13 +147,13 @@ def error_tags(text: Column, rating: Column, actual: Column, place_reviews: Colu
 
 def redact(c: Column) -> Column:
     """White space squeezed, e-mail addresses and phone numbers replaced by a note."""
-    return F.regexp_replace(F.regexp_replace(squeeze(c), EMAIL, EMAIL_HIDDEN), PHONE, PHONE_HIDDEN)
+    return F.regexp_replace(F.regexp_replace(squeeze(c), EMAIL_START, EMAIL_HIDDEN), PHONE, PHONE_HIDDEN)
 
 
 def shareable(c: Column, most: int = 180) -> Column:
     """20 to ``most`` characters, white space squeezed, without e-mail address, phone number or URL."""
     text = squeeze(c)
-    return F.coalesce(F.length(text).between(20, most) & ~text.rlike(EMAIL) & ~text.rlike(PHONE) & ~text.rlike(URL), F.lit(False))
+    return F.coalesce(F.length(text).between(20, most) & ~text.rlike(EMAIL_START) & ~text.rlike(PHONE) & ~text.rlike(URL), F.lit(False))
 
 
 def split_list(c: Column) -> Column:

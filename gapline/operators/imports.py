@@ -81,6 +81,27 @@ def new_texts(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return first_by(rows.withColumn("_key", key).join(old, "_key", "left_anti"), ["_key"], [F.col("row_no")]).drop("_key")
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """A warning (``row_no``, ``field``, ``severity``, ``code``) for each accepted row whose place and text an earlier row has.
+
+    Rows of one text and place are compared with the first of them; no group is gathered.
+    """
+    clean = accepted(rows).select("row_no", F.col("place_name").alias("_p"), X.clean_text(F.col("review_text")).alias("_t"))
+    first = clean.groupBy("_p", "_t").agg(F.min("row_no").alias("_first"))
+    late = clean.join(first, ["_p", "_t"]).where("row_no > _first")
+    return late.select("row_no", F.lit("review_text").alias("field"), F.lit("warning").alias("severity"), F.lit("duplicate_review").alias("code"))
+
+
+def review_ids(rows: DataFrame, import_id: str) -> DataFrame:
+    """``row_no`` and ``review_id``: the run and the given id (else the row number) as a slug; an id that an earlier row has gets the row number after it."""
+    given = F.nullif(F.btrim(F.coalesce(F.col("review_id").cast("string"), F.lit(""))), F.lit(""))
+    ident = F.concat(F.lit(f"{import_id}-"), X.slug(F.coalesce(given, F.format_string("r%05d", F.col("row_no") - 1))))
+    named = rows.select("row_no", ident.alias("review_id"))
+    first = named.groupBy("review_id").agg(F.min("row_no").alias("_first"))
+    again = F.concat("review_id", F.lit("-"), (F.col("row_no") - 1).cast("string"))
+    return named.join(first, "review_id").select("row_no", F.when(F.col("row_no") == F.col("_first"), F.col("review_id")).otherwise(again).alias("review_id"))
+
+
 def reviews_of(rows: DataFrame, import_id: str) -> DataFrame:
     """Accepted rows as reviews of a run: an id per row number and a weak label by rating."""
     ident = F.format_string(f"{import_id}-r%05d", F.col("row_no"))

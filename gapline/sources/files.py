@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import hashlib
 import json
+import os
 import re
+import time
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -13,7 +16,7 @@ from dataclasses import dataclass, field
 from io import StringIO
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -173,6 +176,38 @@ def cell_issues(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.withColumn("issue", kind).where("issue is not null")
 
 
+def unresolved_cells(cell_rows: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """The formulas and error codes in the columns of review texts: ``sheet``, ``cell``, ``issue_type``, ``raw_value``.
+
+    ``columns``: sheet -> names that its text column may have; the first row of a sheet has the names.
+    """
+    clean = lambda c: F.regexp_replace(F.lower(F.btrim(c)), "[^a-z0-9]+", "_")
+    named = [(sheet, "_".join("".join(ch if ch.isalnum() else " " for ch in n.lower()).split())) for sheet, names in columns.items() for n in names]
+    names = cell_rows.sparkSession.createDataFrame(named, "sheet string, _name string")
+    head = cell_rows.where("row_no = 0").select("path", "sheet", "column_no", clean(F.col("value")).alias("_name"))
+    texts = head.join(F.broadcast(names), ["sheet", "_name"]).groupBy("path", "sheet").agg(F.min("column_no").alias("column_no"))
+    bad = cell_issues(cell_rows.where("row_no > 0")).join(F.broadcast(texts), ["path", "sheet", "column_no"])
+    kind = F.when(F.col("issue") == "formula", "formula_in_review_text").otherwise("excel_error")
+    raw = F.coalesce("formula", "value")
+    return bad.select("sheet", F.concat(cell_letters(F.col("column_no")), (F.col("row_no") + 1).cast("string")).alias("cell"), kind.alias("issue_type"), raw.alias("raw_value"))
+
+
+def cell_letters(column_no: Column) -> Column:
+    """A column's letters from its number (from 0): A to Z, then AA and so on, up to three letters."""
+    letter = lambda n: F.char(F.lit(65) + n.cast("int"))
+    n = column_no
+    two = F.concat(letter(F.floor(n / 26) - 1), letter(n % 26))
+    m = n - 702
+    three = F.concat(letter(F.floor(m / 676)), letter(F.floor(m / 26) % 26), letter(m % 26))
+    return F.when(n < 26, letter(n)).when(n < 702, two).otherwise(three)
+
+
+def first_examples(issues: DataFrame, by: list[str], order: list[str], most: int = 25) -> DataFrame:
+    """At most ``most`` rows of each group, the first in order, as a report shows them."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return issues.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
 @dataclass(frozen=True)
 class SheetSpec:
     """Which raw column each canonical one comes from in one sheet, and what its rows are."""
@@ -190,8 +225,16 @@ class SheetSpec:
 
 
 def load_settings(path: str, required: tuple[str, ...] = ()) -> dict:
-    """JSON settings with the fields that must be there."""
-    data = json.loads(Path(path).read_text(encoding="utf-8-sig"))
+    """JSON or (by its ending) YAML settings with the fields that must be there; an empty file has none."""
+    text = Path(path).read_text(encoding="utf-8-sig")
+    if Path(path).suffix.lower() in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML settings need the yaml package") from e
+        data = yaml.safe_load(text) or {}
+    else:
+        data = json.loads(text)
     if gone := [k for k in required if k not in data]:
         raise ValueError(f"{path} lacks {', '.join(gone)}")
     return data
@@ -209,9 +252,59 @@ def write_report(path: str, report: dict) -> Path:
 
 def write_run(df: DataFrame, root: str, import_id: str) -> None:
     """One import run as a partition of its table; a run that is there already is an error."""
+    checked_id(import_id)
+    df.drop("import_id").write.mode("errorifexists").parquet(f"{root.rstrip('/')}/import_id={import_id}")
+
+
+@contextlib.contextmanager
+def run_lock(folder: str, seconds: float = 30.0):
+    """One writer at a time in a local folder: a lock file that only one process can make. A lock that stays past ``seconds`` is an error."""
+    lock = Path(folder, ".lock")
+    lock.parent.mkdir(parents=True, exist_ok=True)
+    end = time.monotonic() + seconds
+    while True:
+        try:
+            os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            break
+        except FileExistsError:
+            if time.monotonic() > end:
+                raise TimeoutError(f"{lock} is held by another writer") from None
+            time.sleep(0.05)
+    try:
+        yield
+    finally:
+        lock.unlink(missing_ok=True)
+
+
+def write_or_pend(text: str, path: str) -> tuple[str, Path]:
+    """("written", path), or ("pending", path of a ``.pending`` file beside it) where the file is locked by the program that has it open."""
+    p = Path(path)
+    for name, q in (("written", p), ("pending", p.with_suffix(f".pending{p.suffix}"))):
+        try:
+            q.write_text(text, encoding="utf-8-sig")
+        except PermissionError:
+            continue
+        return name, q
+    raise PermissionError(f"neither {p} nor a pending file beside it can be written")
+
+
+def write_run_geojson(store, root: str, import_id: str) -> Path:
+    """The map of one run: its places with their top gap, as a file of the run."""
+    return write_geojson(store.features("place"), str(Path(root, f"{import_id}.geojson")))
+
+
+def read_run(root: str, import_id: str, ending: str) -> dict:
+    """The stored summary or map of a run, by its id; unknown ids are an error."""
+    p = Path(root, f"{checked_id(import_id)}{ending}")
+    if not p.exists():
+        raise FileNotFoundError(f"no run {import_id}")
+    return json.loads(p.read_text(encoding="utf-8"))
+
+
+def checked_id(import_id: str) -> str:
     if not re.fullmatch(r"imp-[0-9A-Za-z-]+", import_id):
         raise ValueError("not an import id")
-    df.drop("import_id").write.mode("errorifexists").parquet(f"{root.rstrip('/')}/import_id={import_id}")
+    return import_id
 
 
 def write_excel_csv(df: DataFrame, path: str) -> None:

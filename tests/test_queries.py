@@ -23,8 +23,8 @@ def test_parity(name, spark, tiny, con):
 
 
 def test_catalogue():
-    assert len(QUERIES) == 117
-    assert set(QUERIES) - set(ORACLE_SQL) == {"entity_resolution", "nmf_topics", "train_complaint_lr", "multilabel_lr", "group_kfold_split", "locked_split"}
+    assert len(QUERIES) == 131
+    assert set(QUERIES) - set(ORACLE_SQL) == {"entity_resolution", "nmf_topics", "train_complaint_lr", "multilabel_lr", "group_kfold_split", "locked_split", "nested_group_split", "locked_aspect_split", "sentiment_queue", "clause_queue"}
 
 
 def test_entry_without_the_training_data_operators(tmp_path):
@@ -33,7 +33,7 @@ def test_entry_without_the_training_data_operators(tmp_path):
         src = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
     shutil.rmtree(tmp_path / "gapline" / "llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 117 and set(e.oracle_sql()) <= set(q); print('fine')"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 131 and set(e.oracle_sql()) <= set(q); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert out.stdout.strip() == "fine", out.stderr
 
@@ -73,4 +73,4 @@ def test_multilabel_and_topics(spark, tiny):
     rows = QUERIES["multilabel_lr"](spark, tiny).collect()
     assert all(0 <= r.p <= 1 for r in rows)
     top = QUERIES["nmf_topics"](spark, tiny).collect()
-    assert all(0 <= r.strength <= 1 and 0 <= r.topic < 6 for r in top)
+    assert all(0 <= r.strength <= 1 and 0 <= r.topic < 12 for r in top)
