@@ -123,7 +123,7 @@ def build(sheets: dict[str, DataFrame], metadata_specs: list[MetadataSheet] = ME
     clean = {n: clean_sheet(df) for n, df in sheets.items()}
     meta = metadata_rows(clean, metadata_specs)
     named = source_places(clean, meta, review_specs)
-    mapping = entities.resolve(named.withColumn("category", F.lit("all"))).select("source", "name", "canonical_id", "canonical_name", "score", "method", "status", "needs_review", "candidate_id")
+    mapping = entities.resolve(named, within=None).select("source", "name", "canonical_id", "canonical_name", "score", "method", "status", "needs_review", "candidate_id")
     joined = named.join(mapping.select("source", "name", "canonical_id"), ["source", "name"])
     order = [F.asc("priority"), F.asc("source"), F.asc("place_name")]
     first = first_by(joined, ["canonical_id"], order).select(F.col("canonical_id").alias("place_id"), "place_name", "category")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,62 +26,172 @@ def match_status(score: Column) -> Column:
     return F.when(score >= AUTO, "auto").when(score >= REVIEW, "new_needs_manual_review").otherwise("new")
 
 
-def name_similarity(a: str, b: str) -> float:
-    """0 to 100: the best of plain, word-sorted and shared-word similarity, the latter two at 95 %."""
-    plain = difflib.SequenceMatcher(None, a, b).ratio()
-    x, y = a.split(), b.split()
-    ordered = difflib.SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio()
-    shared = " ".join(sorted(set(x) & set(y)))
-    subset = 0.0
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, all rows of the table at once in the bits of one number."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = state = (1 << len(a)) - 1
+    for c in b:
+        u = state & where.get(c, 0)
+        state = ((state + u) | (state - u)) & full
+    return len(a) - state.bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    """0 to 100: twice the common subsequence over both lengths."""
+    return 200.0 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def partial(a: str, b: str) -> float:
+    """The best ratio of the shorter text with a part of the longer one that is as long, or shorter at its ends."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0
+    if a in b:
+        return 100.0
+    parts = {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))}
+    return max(ratio(a, p) for p in parts)
+
+
+def token_ratio(a: str, b: str) -> float:
+    """The better of the ratio of the words in order and of what shared words leave to compare."""
+    x, y = set(a.split()), set(b.split())
+    shared, only_a, only_b = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    best = ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    if shared and (not only_a or not only_b):
+        return 100.0
+    with_a, with_b = f"{shared} {only_a}".strip(), f"{shared} {only_b}".strip()
+    # the shared words are equal on both sides, so only the rest can differ
+    same = 2 * common(only_a, only_b) + 2 * (len(with_a) - len(only_a))
+    best = max(best, 100.0 * same / (len(with_a) + len(with_b)) if with_a or with_b else 0.0)
     if shared:
-        left, right = " ".join(sorted(set(x))), " ".join(sorted(set(y)))
-        subset = max(difflib.SequenceMatcher(None, shared, left).ratio(), difflib.SequenceMatcher(None, shared, right).ratio())
-    return 100.0 * max(plain, 0.95 * ordered, 0.95 * subset)
+        best = max(best, *(200.0 * len(shared) / (len(shared) + len(w)) for w in (with_a, with_b)))
+    return best
+
+
+def partial_token_ratio(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        return 100.0
+    return max(partial(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial(" ".join(sorted(x - y)), " ".join(sorted(y - x))))
+
+
+def name_similarity(a: str, b: str) -> float:
+    """0 to 100: the weighted ratio. Names of near lengths: plain, or by words at 95 %; else the best part at 90 % (60 % beyond eight times the length)."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    if longer < 1.5:
+        return max(ratio(a, b), 0.95 * token_ratio(a, b))
+    scale = 0.9 if longer <= 8 else 0.6
+    return max(ratio(a, b), scale * partial(a, b), 0.95 * scale * partial_token_ratio(a, b))
+
+
+def word_grams(name: str, low: int = 3, high: int = 5) -> Counter:
+    """Counts of the runs of letters inside each word with a space at both its ends; of a shorter word, the word."""
+    out: Counter = Counter()
+    for w in name.split():
+        padded = f" {w} "
+        for n in range(low, high + 1):
+            if len(padded) <= n:
+                out[padded] += 1
+                break
+            out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    return out
+
+
+class GramIndex:
+    """Cosines of names under weights that know only the names so far: count x (ln((1 + n) / (1 + names with the gram)) + 1)."""
+
+    def __init__(self):
+        self.grams: list[Counter] = []
+        self.having: dict[str, list[int]] = {}
+
+    def add(self, name: str) -> None:
+        counts = word_grams(name)
+        for g in counts:
+            self.having.setdefault(g, []).append(len(self.grams))
+        self.grams.append(counts)
+
+    def _weight(self, gram: str) -> float:
+        return math.log((1 + len(self.grams)) / (1 + len(self.having.get(gram, ())))) + 1
+
+    def best(self, name: str, among: Iterable[int]) -> tuple[int | None, float]:
+        """The first of the nearest of ``among`` and its cosine; grams that no name so far has count for nothing."""
+        mine = {g: n * self._weight(g) for g, n in word_grams(name).items() if g in self.having}
+        size = math.sqrt(sum(v * v for v in mine.values()))
+        found, top = None, 0.0
+        for i in among if size else ():
+            theirs = self.grams[i]
+            dot = sum(v * theirs[g] * self._weight(g) for g, v in mine.items() if g in theirs)
+            if dot and (c := dot / (size * math.sqrt(sum((n * self._weight(g)) ** 2 for g, n in theirs.items())))) > top:
+                found, top = i, c
+        return found, top
 
 
 SCHEMA = "source string, name string, canonical_id string, canonical_name string, score double, method string, status string, needs_review boolean, candidate_id string"
 
 
-def resolve(rows: DataFrame, block: int = 3) -> DataFrame:
-    """Each (source, name) with its canonical place, by category.
+def resolve(rows: DataFrame, block: int = 3, within: str | None = "category") -> DataFrame:
+    """Each (source, name) with its canonical place, by category or (``within`` None) over all.
 
-    ``rows``: source, priority, name (normalised), category, place_type, lat, lon. Distinct names are few beside reviews. Names of a category are
-    folded in order of (priority, name, source): an exact name joins its place; else the best candidate among places so far that share a run of
-    ``block`` letters; enough similarity joins it, a little less is noted for review, otherwise the name founds a place. Ties keep the earliest.
+    ``rows``: source, priority, name (normalised), category, place_type, lat, lon. Distinct names are few beside reviews, and each decision depends on
+    all earlier ones, so a fold is one task's work. Names are folded in order of (priority, name, source): an exact name joins its place; else, of the places so far that share a
+    run of ``block`` letters, the one most alike by weighted ratio or, if that says more, by the cosine of letter runs. Enough likeness with what
+    else speaks for it joins that place, a little less is noted for review, otherwise the name founds a place. Ties keep the earliest. A place takes the
+    category, type and position of the first row that has them.
     """
-    one = rows.where("name is not null").groupBy("category", "source", "name").agg(F.min("priority").alias("priority"), F.min("place_type").alias("place_type"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    key = F.col(within) if within else F.lit("all")
+    each = rows.where("name is not null").withColumn("_fold", key).groupBy("_fold", "source", "name")
+    one = each.agg(F.min("priority").alias("priority"), F.min("category").alias("category"), F.min("place_type").alias("place_type"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         made: list[dict] = []
         exact: dict[str, int] = {}
         index: dict[str, set[int]] = {}
+        grams = GramIndex()
         out = []
-        for r in pdf.sort_values(["priority", "name", "source"]).itertuples(index=False):
-            grams = {r.name[i : i + block] for i in range(max(1, len(r.name) - block + 1))}
+        slug = re.sub(r"[^a-z0-9]+", "-", str(pdf["_fold"].iloc[0]).lower())
+        for r in pdf.sort_values(["priority", "name", "source"]).rename(columns={"_fold": "fold"}).itertuples(index=False):
+            row = {"category": r.category or None, "type": r.place_type or None, "lat": None if pd.isna(r.lat) else r.lat, "lon": None if pd.isna(r.lon) else r.lon}
+            runs = {r.name[i : i + block] for i in range(max(1, len(r.name) - block + 1))}
+            place, said, found = None, ("new_canonical", "new", 0.0), None
             if r.name in exact:
-                m = made[exact[r.name]]
-                out.append((r.source, r.name, m["id"], m["name"], 100.0, "normalized_exact", "auto", False, None))
-                continue
-            best, top = None, 0.0
-            for i in sorted(set().union(*(index.get(g, set()) for g in grams))):
-                if (s := name_similarity(r.name, made[i]["name"])) > top:
-                    best, top = i, s
-            found = None
-            if best is not None:
+                place, said = made[exact[r.name]], ("normalized_exact", "auto", 100.0)
+            elif near := sorted(set().union(*(index.get(g, set()) for g in runs))):
+                scores = [name_similarity(r.name, made[i]["name"]) for i in near]
+                alike = max(scores)
+                best = near[scores.index(alike)]
+                other, cosine = grams.best(r.name, near)
+                if other is not None and 100 * cosine > alike:
+                    best, alike = other, 100 * cosine
                 m = made[best]
-                near = all(pd.notna(v) for v in (r.lat, r.lon, m["lat"], m["lon"])) and abs(r.lat - m["lat"]) <= NEAR_DEGREES and abs(r.lon - m["lon"]) <= NEAR_DEGREES
-                top += CATEGORY_BONUS + (TYPE_BONUS if r.place_type and r.place_type == m["type"] else 0) + (NEAR_BONUS if near else 0)
-                found = m if top >= REVIEW else None
-            if found and top >= AUTO:
-                out.append((r.source, r.name, found["id"], found["name"], min(top, 100.0), "fuzzy_auto", "auto", False, None))
-                continue
-            key = re.sub(r"[^a-z0-9]+", "-", str(r.category).lower())
-            new = {"id": f"place_{key}_{len(made) + 1:05d}", "name": r.name, "type": r.place_type, "lat": r.lat, "lon": r.lon}
-            exact[r.name] = len(made)
-            for g in grams:
-                index.setdefault(g, set()).add(len(made))
-            made.append(new)
-            out.append((r.source, r.name, new["id"], new["name"], min(top, 100.0) if found else 0.0, "fuzzy_candidate" if found else "new_canonical", "new_needs_manual_review" if found else "new", bool(found), found["id"] if found else None))
+                total = alike + _bonus(row, m)
+                if total >= AUTO:
+                    place, said = m, ("fuzzy_auto", "auto", min(total, 100.0))
+                elif total >= REVIEW:
+                    found, said = m["id"], ("fuzzy_candidate", "new_needs_manual_review", min(total, 100.0))
+            if place is None:
+                place = {"id": f"place_{slug}_{len(made) + 1:05d}", "name": r.name, **row}
+                exact[r.name] = len(made)
+                for g in runs:
+                    index.setdefault(g, set()).add(len(made))
+                made.append(place)
+                grams.add(r.name)
+            for f in ("category", "type"):
+                place[f] = place[f] or row[f]
+            if place["lat"] is None:
+                place["lat"], place["lon"] = row["lat"], row["lon"]
+            out.append((r.source, r.name, place["id"], place["name"], said[2], said[0], said[1], found is not None, found))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return one.groupBy("category").applyInPandas(fold, SCHEMA)
+    return one.groupBy("_fold").applyInPandas(fold, SCHEMA)
+
+
+def _bonus(a: dict, b: dict) -> float:
+    same = lambda f: a[f] is not None and a[f] == b[f]
+    placed = None not in (a["lat"], a["lon"], b["lat"], b["lon"])
+    near = placed and abs(a["lat"] - b["lat"]) <= NEAR_DEGREES and abs(a["lon"] - b["lon"]) <= NEAR_DEGREES
+    return CATEGORY_BONUS * same("category") + TYPE_BONUS * same("type") + NEAR_BONUS * near

@@ -206,6 +206,50 @@ def test_resolution_cases(spark):
     assert len({r.canonical_id for r in entities.resolve(near).collect()}) == 1
 
 
+def test_weighted_ratio():
+    assert entities.ratio("this is a test", "this is a test!") == pytest.approx(2800 / 29)
+    assert entities.common("abcbdab", "bdcaba") == 4
+    assert entities.partial("this is a test", "this is a test!") == 100
+    assert entities.partial("abcd", "xxabydxx") == pytest.approx(75)
+    assert entities.token_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 100
+    assert entities.token_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    assert entities.name_similarity("new york mets", "new york mets at atlanta braves") == pytest.approx(90)
+    assert entities.name_similarity("", "x") == 0
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randrange(9))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert entities.common(a, b) == table[-1][-1]
+
+
+def test_cosines_of_letter_runs():
+    """Against the sums written out, with the weights of the names so far."""
+    names, probe = ["pantai indah", "pantai baru", "air terjun"], "pantai indah sekali"
+    index = entities.GramIndex()
+    for n in names:
+        index.add(n)
+    grams = [entities.word_grams(n) for n in names]
+    weight = lambda g: math.log(4 / (1 + sum(g in x for x in grams))) + 1
+    row = lambda c: {g: n * weight(g) for g, n in c.items() if any(g in x for x in grams)}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    q = row(entities.word_grams(probe))
+    cosines = [sum(q.get(g, 0) * x for g, x in row(c).items()) / (norm(q) * norm(row(c))) for c in grams]
+    assert index.best(probe, range(3)) == (0, pytest.approx(cosines[0]))
+    assert entities.word_grams("ab abcd") == {" ab": 1, "ab ": 1, " ab ": 1, " abc": 1, "abcd": 1, "bcd ": 1, " abcd": 1, "abcd ": 1} | {" ab": 2, "abc": 1, "bcd": 1, "cd ": 1}
+
+
+def test_resolution_by_words_and_position(spark):
+    schema = "source string, priority int, name string, category string, place_type string, lat double, lon double"
+    rows = [("a", 0, "hotel danau toba", "hotel", "h", 2.0, 99.0), ("b", 1, "danau toba hotel", "hotel", None, None, None), ("b", 1, "hotel danau tobba raya", "restoran", None, 2.001, 99.0), ("c", 2, "air terjun efrata", "wisata", None, None, None)]
+    got = {r.name: r for r in entities.resolve(spark.createDataFrame(rows, schema), within=None).collect()}
+    assert got["danau toba hotel"].canonical_id == got["hotel danau toba"].canonical_id
+    assert got["air terjun efrata"].method == "new_canonical"
+    assert len({r.canonical_id for r in got.values()}) in (2, 3)
+
+
 def test_import_issues(spark):
     rows = spark.createDataFrame([(2, "P", "c", "ok text", 5.0, 1.0, 2.0, "2024-01-01"), (3, "", None, "x", 9.0, 1.0, None, "soon"), (4, "P", "c", "ok text", None, 95.0, 2.0, "soon")], "row_no long, place_name string, place_category string, review_text string, review_rating double, latitude double, longitude double, review_date string")
     got = {(r.row_no, r.field, r.code) for r in imports.issues(rows).collect()}
