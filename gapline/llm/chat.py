@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from gapline.llm.common import cut, discard
 
+#: Tables of moves kept apart before they are merged, so that the plan does not grow with the rounds.
+STEPS = 8
 #: Names of JSON schema types, and what Spark calls the types of parsed values.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 
@@ -60,23 +62,30 @@ def hash_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Data
 def places(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """A topological order: ``id``, ``turn``, ``level`` such that (turn, level) rises along every edge (``before``, ``after``).
 
-    ``nodes``: ``id`` (of any type that can be compared) and ``turn``. A message keeps its turn unless something it depends on comes later. Edges to unknown ids are ignored. Rounds
-    end when nothing moves; what still moves after ``max_depth`` rounds (a cycle, or so deep a chain out of order) has null level.
+    ``nodes``: ``id`` (of any type that can be compared, one row each) and ``turn``. A message keeps its turn unless something it depends on comes later.
+    Edges to unknown ids are ignored. Rounds end when nothing moves; what still moves after ``max_depth`` rounds (a cycle, or so deep a chain out of order) has
+    null level. A round looks only at what depends on messages that moved in the round before, and writes only those that move.
     """
-    now = nodes.select("id", "turn", F.lit(0).cast("long").alias("level"))
-    before = None
+    edges = cut(edges)
+    start = cut(nodes.select("id", F.struct("turn", F.lit(0).cast("long").alias("level")).alias("at")))
+    moved, steps = start, []
+    latest = lambda: reduce(DataFrame.unionByName, [start, *steps])
     for _ in range(max_depth):
-        ends = hash_join(edges, now.select(F.col("id").alias("before"), F.struct("turn", "level").alias("b")), "before")
-        after = ends.groupBy(F.col("after").alias("id")).agg(F.max("b").alias("b"))
-        late = F.col("b").isNotNull() & (F.struct("turn", "level") <= F.col("b"))
-        moved = hash_join(now, after, "id", "left").select("id", F.when(late, F.col("b.turn")).otherwise(F.col("turn")).alias("turn"), F.when(late, F.col("b.level") + 1).otherwise(F.col("level")).alias("level"), late.alias("late"))
-        moved = cut(moved)
-        if before is not None:
-            discard(before)
-        now, before = moved.drop("late"), moved
-        if moved.where("late").isEmpty():
-            return now
-    return moved.select("id", "turn", F.when(~F.col("late"), F.col("level")).alias("level"))
+        ends = edges.join(moved.select(F.col("id").alias("before"), F.col("at").alias("b")), "before").groupBy(F.col("after").alias("id")).agg(F.max("b").alias("b"))
+        # places only rise, so the latest is the greatest
+        now = latest().join(ends, "id").groupBy("id").agg(F.max("at").alias("at"), F.max("b").alias("b"))
+        moved = cut(now.where("at <= b").select("id", F.struct(F.col("b.turn").alias("turn"), (F.col("b.level") + 1).alias("level")).alias("at")))
+        if moved.isEmpty():
+            break
+        if len(steps) == STEPS:
+            merged = cut(reduce(DataFrame.unionByName, steps).groupBy("id").agg(F.max("at").alias("at")))
+            discard(*steps)
+            steps = [merged]
+        steps.append(moved)
+    discard(edges)
+    out = latest().groupBy("id").agg(F.max("at").alias("at"))
+    out = out.join(moved.select("id", F.lit(True).alias("late")), "id", "left")
+    return out.select("id", "at.turn", F.when(F.col("late").isNull(), F.col("at.level")).alias("level"))
 
 
 def _firsts(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
