@@ -7,12 +7,14 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AUTO, REVIEW = 94.0, 88.0
 CATEGORY_BONUS, TYPE_BONUS, NEAR_BONUS, NEAR_DEGREES = 2.0, 1.0, 3.0, 0.002
+LEAST = REVIEW - CATEGORY_BONUS - TYPE_BONUS - NEAR_BONUS  # less likeness than this founds a place whatever else speaks for it
 
 
 def evidence_bonus(a: str, b: str) -> Column:
@@ -102,25 +104,58 @@ def word_grams(name: str, low: int = 3, high: int = 5) -> Counter:
     return out
 
 
+NONE = np.empty(0, np.int64)
+
+
+class Postings:
+    """Which places have a key and how often, in arrays that grow."""
+
+    def __init__(self):
+        self.lists: dict[str, list] = {}
+
+    def add(self, counts: Counter, place: int) -> None:
+        for k, n in counts.items():
+            ids, often, size = self.lists.setdefault(k, [np.empty(2, np.int64), np.empty(2, np.int64), 0])
+            if size == len(ids):
+                self.lists[k][:2] = ids, often = np.resize(ids, 2 * size), np.resize(often, 2 * size)
+            ids[size], often[size] = place, n
+            self.lists[k][2] += 1
+
+    def of(self, key: str) -> tuple[np.ndarray, np.ndarray]:
+        ids, often, size = self.lists.get(key, (NONE, NONE, 0))
+        return ids[:size], often[:size]
+
+    def having(self, key: str) -> int:
+        return self.lists[key][2] if key in self.lists else 0
+
+
 class GramIndex:
     """Cosines of names under weights that know only the names so far: count x (ln((1 + n) / (1 + names with the gram)) + 1)."""
 
     def __init__(self):
         self.grams: list[Counter] = []
-        self.having: dict[str, list[int]] = {}
+        self.index = Postings()
+        self.sums = np.zeros((3, 64))  # per name, over its grams: count squared times 1, l and l squared, where l = ln(1 + names with the gram)
 
     def add(self, name: str) -> None:
-        counts = word_grams(name)
-        for g in counts:
-            self.having.setdefault(g, []).append(len(self.grams))
+        counts, at = word_grams(name), len(self.grams)
+        if at == self.sums.shape[1]:
+            self.sums = np.hstack([self.sums, np.zeros_like(self.sums)])
+        for g, n in counts.items():
+            ids, often = self.index.of(g)
+            was, now = math.log(1 + len(ids)), math.log(2 + len(ids))
+            self.sums[1, ids] += often**2 * (now - was)
+            self.sums[2, ids] += often**2 * (now**2 - was**2)
+            self.sums[:, at] += n * n, n * n * now, n * n * now**2
+        self.index.add(counts, at)
         self.grams.append(counts)
 
     def _weight(self, gram: str) -> float:
-        return math.log((1 + len(self.grams)) / (1 + len(self.having.get(gram, ())))) + 1
+        return math.log((1 + len(self.grams)) / (1 + self.index.having(gram))) + 1
 
     def best(self, name: str, among: Iterable[int]) -> tuple[int | None, float]:
         """The first of the nearest of ``among`` and its cosine; grams that no name so far has count for nothing."""
-        mine = {g: n * self._weight(g) for g, n in word_grams(name).items() if g in self.having}
+        mine = {g: n * self._weight(g) for g, n in word_grams(name).items() if self.index.having(g)}
         size = math.sqrt(sum(v * v for v in mine.values()))
         found, top = None, 0.0
         for i in among if size else ():
@@ -130,6 +165,118 @@ class GramIndex:
                 found, top = i, c
         return found, top
 
+    def cosines(self, name: str) -> np.ndarray:
+        """The cosines of all names so far at once, near 1e-12 of what ``best`` finds: a name's length follows from sums that ``add`` keeps."""
+        n, out, size = len(self.grams), np.zeros(len(self.grams)), 0.0
+        for g, k in word_grams(name).items():
+            ids, often = self.index.of(g)
+            if len(ids):
+                w = self._weight(g)
+                size += (k * w) ** 2
+                if len(ids) == n:
+                    out += k * w * w * often
+                else:
+                    out[ids] += k * w * w * often
+        top, (a, b, c) = 1 + math.log(1 + n), self.sums[:, :n]
+        return out / np.maximum(np.sqrt(np.maximum(top * top * a - 2 * top * b + c, 0.0) * size), 1e-300)
+
+
+class NameIndex:
+    """The names of the places so far, compared with a name at once."""
+
+    LONGEST = 64  # letters of a name that fit the bits of one number
+
+    def __init__(self, block: int):
+        self.block, self.names, self.grams = block, [], GramIndex()
+        self.runs, self.words, self.letters = Postings(), Postings(), Postings()
+        self.codes: dict[str, int] = {}
+        self.width = math.ceil(self.LONGEST * self._longer())
+        self.table = np.zeros((self.width, 64), np.int32)  # a place's letters, top down; 0 is none
+        self.sizes = np.zeros((2, 64), np.int64)  # letters of the name and of its different words with a space between them
+
+    @staticmethod
+    def _longer() -> float:
+        """Names whose lengths differ by more have no ratio of ``LEAST``."""
+        return (200 - LEAST) / LEAST
+
+    def _of(self, name: str) -> tuple[Counter, Counter, Counter, int]:
+        words = Counter(set(name.split()))
+        runs = Counter({name[i : i + self.block] for i in range(max(1, len(name) - self.block + 1))})
+        return runs, words, Counter(" " if c.isspace() else c for c in name), max(0, sum(map(len, words)) + len(words) - 1)
+
+    def add(self, name: str) -> None:
+        at = len(self.names)
+        if at == self.sizes.shape[1]:
+            self.table, self.sizes = np.hstack([self.table, np.zeros_like(self.table)]), np.hstack([self.sizes, np.zeros_like(self.sizes)])
+        runs, words, letters, size = self._of(name)
+        self.runs.add(runs, at), self.words.add(words, at), self.letters.add(letters, at)
+        part = [self.codes.setdefault(c, len(self.codes) + 1) for c in name[: self.width]]
+        self.table[: len(part), at] = part
+        self.sizes[:, at] = len(name), size
+        self.names.append(name)
+        self.grams.add(name)
+
+    def _ratios(self, name: str, lengths: np.ndarray) -> np.ndarray:
+        """``ratio`` with every name; -1 where it is surely under ``LEAST``."""
+        n, width = len(self.names), min(self.width, math.ceil(len(name) * self._longer()))
+        masks = np.zeros(len(self.codes) + 1, np.uint64)
+        for i, c in enumerate(name):
+            if c in self.codes:
+                masks[self.codes[c]] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(name)) - 1)
+        state = np.full(n, full)
+        for j in range(min(width, int(lengths.max()))):
+            u = state & masks[self.table[j, :n]]
+            state = (state + u) | (state - u)
+        both = len(name) - np.bitwise_count(state & full).astype(np.int64)
+        return np.where(lengths <= width, 200.0 * both / (len(name) + lengths), -1.0)
+
+    def nearest(self, name: str) -> tuple[int | None, float]:
+        """The place whose name is most alike, and how much, among those that share a run of letters; ties are the earliest's. Exact from ``LEAST`` on.
+
+        The plain ratio is worked out for all places. ``name_similarity`` is asked only where a bound by shared letters and words says that
+        it may reach the best so far, and ``GramIndex.best`` only of the places whose cosine is the largest but for rounding.
+        """
+        n = len(self.names)
+        runs, words, letters, size = self._of(name)
+        near = np.zeros(n, bool)
+        for r in runs:
+            near[self.runs.of(r)[0]] = True
+        if not name or not near.any():
+            return None, 0.0
+        lengths, sizes = self.sizes[:, :n]
+        bag, shared = np.zeros(n), np.zeros(n)
+        for c, k in letters.items():
+            ids, often = self.letters.of(c)
+            bag[ids] += np.minimum(often, k)
+        for w in words:
+            shared[self.words.of(w)[0]] += len(w) + 1
+        some, less = np.maximum(shared - 1, 0), np.maximum(np.minimum(size, sizes), 1)
+        longer = np.maximum(lengths, len(name)) / np.maximum(np.minimum(lengths, len(name)), 1)
+        by_words = 95 * np.minimum(1, np.maximum(2 * bag / np.maximum(size + sizes, 1), 2 * some / (some + less)))
+        by_part = np.where(longer <= 8, 90.0, 60.0) * np.maximum(np.minimum(1, 2 * bag / (bag + less)), np.where(shared > 0, 0.95, 0))
+        bound = np.where(longer < 1.5, by_words, by_part)
+        if len(name) <= self.LONGEST:
+            alike = self._ratios(name, lengths)
+        else:
+            alike, bound = np.full(n, -1.0), np.maximum(bound, 200 * bag / (len(name) + lengths))
+        alike[~near] = -1.0
+        top = alike.max()
+        may = np.flatnonzero(near & (bound >= max(top, LEAST) - 1e-6))
+        for i in may[np.argsort(-bound[may], kind="stable")]:
+            if bound[i] < max(top, LEAST) - 1e-6:
+                break
+            alike[i] = name_similarity(name, self.names[i])
+            top = max(top, alike[i])
+        best = int(alike.argmax())
+        top = float(top)
+        cosines = np.where(near, self.grams.cosines(name), 0.0)
+        if 100 * (most := cosines.max()) >= max(top, LEAST) - 1e-6:
+            other, cosine = self.grams.best(name, np.flatnonzero(cosines >= most - 1e-9).tolist())
+            if other is not None and 100 * cosine > top:
+                best, top = other, 100 * cosine
+        return best, top
+
 
 SCHEMA = "source string, name string, canonical_id string, canonical_name string, score double, method string, status string, needs_review boolean, candidate_id string"
 
@@ -150,25 +297,17 @@ def resolve(rows: DataFrame, block: int = 3, within: str | None = "category") ->
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         made: list[dict] = []
         exact: dict[str, int] = {}
-        index: dict[str, set[int]] = {}
-        grams = GramIndex()
+        index = NameIndex(block)
         out = []
         slug = re.sub(r"[^a-z0-9]+", "-", str(pdf["_fold"].iloc[0]).lower())
         for r in pdf.sort_values(["priority", "name", "source"]).rename(columns={"_fold": "fold"}).itertuples(index=False):
             row = {"category": r.category or None, "type": r.place_type or None, "lat": None if pd.isna(r.lat) else r.lat, "lon": None if pd.isna(r.lon) else r.lon}
-            runs = {r.name[i : i + block] for i in range(max(1, len(r.name) - block + 1))}
             place, said, found = None, ("new_canonical", "new", 0.0), None
             if r.name in exact:
                 place, said = made[exact[r.name]], ("normalized_exact", "auto", 100.0)
-            elif near := sorted(set().union(*(index.get(g, set()) for g in runs))):
-                scores = [name_similarity(r.name, made[i]["name"]) for i in near]
-                alike = max(scores)
-                best = near[scores.index(alike)]
-                other, cosine = grams.best(r.name, near)
-                if other is not None and 100 * cosine > alike:
-                    best, alike = other, 100 * cosine
-                m = made[best]
-                total = alike + _bonus(row, m)
+            elif (near := index.nearest(r.name))[0] is not None:
+                m = made[near[0]]
+                total = near[1] + _bonus(row, m)
                 if total >= AUTO:
                     place, said = m, ("fuzzy_auto", "auto", min(total, 100.0))
                 elif total >= REVIEW:
@@ -176,10 +315,8 @@ def resolve(rows: DataFrame, block: int = 3, within: str | None = "category") ->
             if place is None:
                 place = {"id": f"place_{slug}_{len(made) + 1:05d}", "name": r.name, **row}
                 exact[r.name] = len(made)
-                for g in runs:
-                    index.setdefault(g, set()).add(len(made))
                 made.append(place)
-                grams.add(r.name)
+                index.add(r.name)
             for f in ("category", "type"):
                 place[f] = place[f] or row[f]
             if place["lat"] is None:
@@ -187,7 +324,9 @@ def resolve(rows: DataFrame, block: int = 3, within: str | None = "category") ->
             out.append((r.source, r.name, place["id"], place["name"], said[2], said[0], said[1], found is not None, found))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return one.groupBy("_fold").applyInPandas(fold, SCHEMA)
+    # a number of partitions that is given is not merged again, so each fold has its own task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return one.repartition(parts, "_fold").groupBy("_fold").applyInPandas(fold, SCHEMA)
 
 
 def _bonus(a: dict, b: dict) -> float:

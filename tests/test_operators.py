@@ -241,6 +241,38 @@ def test_cosines_of_letter_runs():
     assert entities.word_grams("ab abcd") == {" ab": 1, "ab ": 1, " ab ": 1, " abc": 1, "abcd": 1, "bcd ": 1, " abcd": 1, "abcd ": 1} | {" ab": 2, "abc": 1, "bcd": 1, "cd ": 1}
 
 
+def test_names_are_compared_at_once(monkeypatch):
+    """The nearest name and its likeness as by all pairs, with few of them worked out."""
+    rng, words = random.Random(5), ["pantai", "indah", "danau", "toba", "hotel", "air", "raya", "0001", "0012", "aa", "ab"]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(60)} | {f"supplier {i:09d}" for i in range(0, 90, 7)} | {"pantai indah " * 7 + "x"}
+    index, grams, so_far, asked = entities.NameIndex(3), entities.GramIndex(), [], []
+    similarity = entities.name_similarity
+    monkeypatch.setattr(entities, "name_similarity", lambda a, b: asked.append(a) or similarity(a, b))
+    pairs = matched = 0
+    for name in sorted(names, key=lambda n: rng.random()):
+        runs = lambda n: {n[i : i + 3] for i in range(max(1, len(n) - 2))}
+        near = [i for i, other in enumerate(so_far) if runs(name) & runs(other)]
+        pairs += len(near)
+        if near:
+            alike = [similarity(name, so_far[i]) for i in near]
+            wanted = near[alike.index(max(alike))], max(alike)
+            other, cosine = grams.best(name, near)
+            wanted = (other, 100 * cosine) if other is not None and 100 * cosine > wanted[1] else wanted
+            got = index.nearest(name)
+            assert got == wanted or max(got[1], wanted[1]) < entities.LEAST
+            matched += wanted[1] >= entities.LEAST
+        so_far.append(name), index.add(name), grams.add(name)
+    assert matched > 40
+    assert len(asked) < pairs / 2
+
+
+def test_each_fold_has_its_own_task(spark):
+    schema = "source string, priority int, name string, category string, place_type string, lat double, lon double"
+    rows = [("a", 1, f"pantai {i}", f"c{i % 5}", None, None, None) for i in range(40)]
+    tasks = entities.resolve(spark.createDataFrame(rows, schema)).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 1
+
+
 def test_resolution_by_words_and_position(spark):
     schema = "source string, priority int, name string, category string, place_type string, lat double, lon double"
     rows = [("a", 0, "hotel danau toba", "hotel", "h", 2.0, 99.0), ("b", 1, "danau toba hotel", "hotel", None, None, None), ("b", 1, "hotel danau tobba raya", "restoran", None, 2.001, 99.0), ("c", 2, "air terjun efrata", "wisata", None, None, None)]
