@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,100 @@ def match_status(score: Column) -> Column:
     return F.when(score >= AUTO, "auto").when(score >= REVIEW, "new_needs_manual_review").otherwise("new")
 
 
+def edits(a: str, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The edit distances of ``a`` and many texts: the columns of all tables at once, in the bits of one number per text (by rows where ``a`` has more than 64 letters).
+
+    ``others`` has a text's code points down a column, ``lengths`` ascend.
+    """
+    score = np.full(len(lengths), len(a), np.int64)
+    if not a or not len(lengths):
+        return lengths.astype(np.int64) if not a else score
+    if len(a) > 64:
+        row = np.repeat(np.arange(len(a) + 1)[:, None], len(lengths), axis=1)
+        for j in range(lengths[-1]):
+            at = np.searchsorted(lengths, j, "right")
+            last = row[:, at:].copy()
+            row[0, at:] = j + 1
+            for i, c in enumerate(map(ord, a)):
+                row[i + 1, at:] = np.minimum(np.minimum(row[i, at:], last[i + 1]) + 1, last[i] + (others[j, at:] != c))
+        return row[-1]
+    kind = np.uint32 if len(a) <= 32 else np.uint64
+    one, high = kind(1), kind(1 << (len(a) - 1))
+    letters = np.unique(np.array([*map(ord, a)], others.dtype))
+    masks = np.zeros(len(letters) + 1, kind)
+    for i, c in enumerate(a):
+        masks[np.searchsorted(letters, ord(c))] |= kind(1 << i)
+    place = np.minimum(np.searchsorted(letters, others), len(letters) - 1)
+    places = np.where(letters[place] == others, place, len(letters))
+    up, down = np.full(len(lengths), ~kind(0)), np.zeros(len(lengths), kind)
+    for j in range(lengths[-1]):
+        at = np.searchsorted(lengths, j, "right")
+        p, m, same = up[at:], down[at:], masks[places[j, at:]]
+        x = (((same & p) + p) ^ p) | same
+        more, less = m | ~(x | p), p & x
+        score[at:] += (more & high) != 0
+        score[at:] -= (less & high) != 0
+        more, less, x = (more << one) | one, less << one, same | m
+        up[at:], down[at:] = less | ~(x | more), more & x
+    return score
+
+
+def similar_names(rows: DataFrame, key: str, name: str, within: str, least: float, block: int = 2048) -> DataFrame:
+    """Pairs of rows of one ``within`` whose names are alike by ``base`` >= ``least`` (100 less the share of edits), the smaller ``key`` first: the columns but ``name`` with ``a_`` and ``b_``, and ``base``.
+
+    All pairs are compared, which is quadratic in the largest group. A group is cut by hash into blocks of about ``block`` rows and each pair of blocks is compared on its
+    own, so no group is one task's work and a task holds a few pairs of blocks; only pairs that are alike leave it.
+    """
+    rows = rows.where(F.col(within).isNotNull() & F.col(name).isNotNull() & F.col(key).isNotNull())
+    many = rows.groupBy(within).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_n"))
+    put = rows.join(many, within).withColumn("_i", F.pmod(F.xxhash64(key), F.col("_n")))
+    whole = put.groupBy(F.col(within).alias("_w"), "_i", "_n").agg(F.collect_list(F.struct(*rows.columns)).alias("_x"))
+    left = whole.select("_w", "_i", "_x", F.explode(F.expr("sequence(_i, _n - 1)")).alias("_j"))
+    right = whole.select("_w", F.col("_i").alias("_j"), F.col("_x").alias("_y"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.join(right, ["_w", "_j"]).repartition(parts, "_w", "_i", "_j").select((F.col("_i") == F.col("_j")).alias("same"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    carried = [c for c in rows.columns if c != name]
+    schema = ", ".join([*(f"`{p}{c}` {rows.schema[c].dataType.simpleString()}" for p in ("a_", "b_") for c in carried), "base double"])
+
+    def one(same: bool, x: pa.StructArray, y: pa.StructArray):
+        x, y = (dict(zip((f.name for f in t.type), t.flatten(), strict=True)) for t in (x, y))
+        left, right = x[name].to_pylist(), y[name].to_pylist()
+        head = len(os.path.commonprefix([*left, *right]))
+        by_length = np.array(sorted(range(len(right)), key=lambda i: len(right[i])), np.int64)
+        y = {c: v.take(pa.array(by_length)) for c, v in y.items()}
+        texts = [right[i][head:] for i in by_length]
+        lengths = np.array([*map(len, texts)], np.int64)
+        codes = np.zeros((max(1, lengths[-1]), len(texts)), np.int32)
+        for i, t in enumerate(texts):
+            codes[: len(t), i] = [*map(ord, t)]
+        before, after = x[key].to_numpy(zero_copy_only=False), y[key].to_numpy(zero_copy_only=False)
+        held, n = [], 0
+        for i, text in enumerate(left):
+            size = len(text)
+            low, high = np.searchsorted(lengths + head, [size * least / 100 - 1e-6, size * 100 / least + 1e-6])
+            most = np.maximum(size, lengths[low:high] + head)
+            far = edits(text[head:], codes[:, low:high], lengths[low:high])
+            with np.errstate(invalid="ignore"):
+                base = 100.0 * (1.0 - far / most.astype(float))
+            first = before[i] < after[low:high]
+            found = np.flatnonzero((base >= least) & (first if same else first | (before[i] > after[low:high])))
+            held.append((np.full(len(found), i), found + low, base[found], first[found]))
+            n += len(found)
+            if n >= 50_000 or i == len(left) - 1:
+                at, to, base, first = (np.concatenate(z) for z in zip(*held, strict=True))
+                held, n = [], 0
+                for turn, p, q, u, v in ((first, x, y, at, to), (~first, y, x, to, at)):
+                    u, v = pa.array(u[turn]), pa.array(v[turn])
+                    yield pa.RecordBatch.from_arrays([*(p[c].take(u) for c in carried), *(q[c].take(v) for c in carried), pa.array(base[turn])], [*(f"a_{c}" for c in carried), *(f"b_{c}" for c in carried), "base"])
+
+    def compare(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from one(b.column("same")[i].as_py(), b.column("x")[i].values, b.column("y")[i].values)
+
+    return pairs.mapInArrow(compare, schema)
+
+
 def common(a: str, b: str) -> int:
     """Length of the longest common subsequence, all rows of the table at once in the bits of one number."""
     where: dict[str, int] = {}

@@ -177,13 +177,10 @@ def sheet_union(spark, d):
   FROM place a JOIN place b ON a.category = b.category AND a.place_id < b.place_id)
   SELECT a, b, {r('least(base + bonus, 100e0)', 4)} AS score, CASE WHEN base + bonus >= 94 THEN 'auto' WHEN base + bonus >= 88 THEN 'new_needs_manual_review' ELSE 'new' END AS status FROM q WHERE base >= 80""")
 def match_evidence_bonus(spark, d):
-    from gapline.operators.entities import evidence_bonus, match_status
+    from gapline.operators.entities import evidence_bonus, match_status, similar_names
 
     p = st.places(spark, d).select("place_id", "place_name", "category", "place_type", "lat", "lon")
-    a, b = p.select([F.col(c).alias(f"a_{c}") for c in p.columns]), p.select([F.col(c).alias(f"b_{c}") for c in p.columns])
-    pairs = a.join(b, (F.col("a_category") == F.col("b_category")) & (F.col("a_place_id") < F.col("b_place_id")))
-    base = 100.0 * (1.0 - F.levenshtein("a_place_name", "b_place_name") / F.greatest(F.length("a_place_name"), F.length("b_place_name")).cast("double"))
-    rows = pairs.withColumn("base", base).where("base >= 80").withColumn("total", F.col("base") + evidence_bonus("a_", "b_"))
+    rows = similar_names(p, "place_id", "place_name", "category", 80.0).withColumn("total", F.col("base") + evidence_bonus("a_", "b_"))
     return rows.select(F.col("a_place_id").alias("a"), F.col("b_place_id").alias("b"), S.half_up(F.least("total", F.lit(100.0)), 4).alias("score"), match_status(F.col("total")).alias("status"))
 
 

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,39 @@ def test_names_are_compared_at_once(monkeypatch):
     assert len(asked) < pairs / 2
 
 
+def test_edit_distances_of_many_texts():
+    rng = random.Random(8)
+    for longest in (6, 40, 75):
+        texts = sorted(("".join(rng.choice("abé ") for _ in range(rng.randrange(longest))) for _ in range(40)), key=len)
+        codes = np.zeros((max(map(len, texts)), len(texts)), np.int32)
+        for i, t in enumerate(texts):
+            codes[: len(t), i] = [*map(ord, t)]
+        for a in ["", "ab", *texts[-3:]]:
+            wanted = []
+            for b in texts:
+                row = list(range(len(b) + 1))
+                for i, x in enumerate(a):
+                    last, row = row, [i + 1]
+                    for j, y in enumerate(b):
+                        row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
+                wanted.append(row[-1])
+            assert entities.edits(a, codes, np.array([*map(len, texts)])).tolist() == wanted
+
+
+def test_similar_names_are_dealt_by_blocks(spark):
+    """All pairs of all blocks, over more tasks than there are groups; nulls and empty names have none."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(4, 7))) if i % 50 else None, "g" if i % 9 else None) for i in range(300)] + [(300, "", "g"), (301, "", "g")]
+    df = spark.createDataFrame(rows, "id long, name string, g string")
+    got = entities.similar_names(df, "id", "name", "g", 80.0, block=40).select("a_id", "b_id", "base", F.spark_partition_id().alias("task")).collect()
+    a, b = (df.where("name <> ''").select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]) for p in "ab")
+    share = 100.0 * (1.0 - F.levenshtein("a_name", "b_name") / F.greatest(F.length("a_name"), F.length("b_name")).cast("double"))
+    wanted = a.join(b, (F.col("a_g") == F.col("b_g")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id", share.alias("base")).where("base >= 80").collect()
+    assert len(got) == len(wanted) > 1000
+    assert {tuple(r)[:3] for r in got} == {tuple(r) for r in wanted}
+    assert len({r.task for r in got}) > 1
+
+
 def test_each_fold_has_its_own_task(spark):
     schema = "source string, priority int, name string, category string, place_type string, lat double, lon double"
     rows = [("a", 1, f"pantai {i}", f"c{i % 5}", None, None, None) for i in range(40)]
