@@ -348,6 +348,39 @@ def test_topics_part_planted_themes(spark):
     assert "hotel" in {r.term for r in terms.where(F.col("topic") == got[0][0]).collect()}
 
 
+def test_topic_terms_are_counted_as_numbers(spark):
+    """The most frequent words and pairs as counted by hand, ties as text; each text's counts of them."""
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["air", "air-terjun", "danau", "toba", "é1", "x"]) for _ in range(rng.randrange(7))) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string").repartition(3)
+    terms = []
+    for t in texts:
+        w = [x for x in t.lower().replace("-", " ").split() if len(x) > 1]
+        terms.append(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]))
+    for most, vocabulary in ((0.9, 8), (0.3, 100), (0.9, 3)):
+        seen = Counter(x for c in terms for x in c)
+        wanted = sorted(((x, n) for x, n in seen.items() if 2 <= n <= 61 * most), key=lambda x: (-x[1], x[0]))[:vocabulary]
+        known, codes, n = learning._frequent_terms(df, "text", 61, 2, most, vocabulary)
+        names = [known[c // (len(known) + 1)] + (f" {known[c % (len(known) + 1) - 1]}" if c % (len(known) + 1) else "") for c in codes]
+        assert list(zip(names, n, strict=True)) == wanted
+        got = {r.key: dict(zip(r.terms, r.often, strict=True)) for r in learning._term_counts(df, "id", "text", known, codes).collect()}
+        assert got == {i: {j: c[x] for j, x in enumerate(names) if x in c} for i, c in enumerate([*terms, *[{}] * 39, {}]) if i < 60 or i == 99}
+
+
+def test_rounds_of_topics_shuffle_nothing(spark):
+    """As many shuffles, which stay on disk, for many rounds as for one."""
+    df = spark.createDataFrame([(i, f"kamar {i % 7} hotel {i % 5} ikan {i % 3} bakar") for i in range(60)], "id long, text string")
+    shuffles = lambda: int(spark._jsc.sc().newShuffleId())
+    used = []
+    for rounds in (1, 12):
+        before = shuffles()
+        learning.topics(df, "id", k=2, rounds=rounds, tolerance=0.0)
+        used.append(shuffles() - before)
+    assert used[0] == used[1]
+
+
 def bad_and_good(spark, n=12):
     rows = [(i, i % 4, f"kotor buruk rusak {i % 5}", 1.0) for i in range(n)] + [(100 + i, i % 4, f"bagus bersih indah {i % 5}", 0.0) for i in range(n)]
     return spark.createDataFrame(rows, "id long, place long, text string, label double")
