@@ -18,6 +18,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,15 +207,14 @@ def train(rows: DataFrame, calibration: int = 2000) -> dict | None:
     shared = sc.broadcast(classes)
     grams = rows.mapInArrow(_count(shared), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()
-    lang = table.column("lang").to_numpy()
-    gram = table.column("gram").to_numpy().view(np.uint64)
-    n = table.column("n").to_numpy()
-    names = sorted(set(lang.tolist()))
+    names = sorted(pc.unique(table.column("lang")).to_pylist())
     models = []
-    for x in names:
-        mine = np.flatnonzero(lang == x)
-        mine = mine[np.argsort(gram[mine])]
-        models.append(kneser_ney(gram[mine], n[mine]))
+    for x in names:  # one language at a time, and its name never as an object a row
+        mine = table.filter(pc.equal(table.column("lang"), x))
+        gram, n = mine.column("gram").to_numpy().view(np.uint64), mine.column("n").to_numpy()
+        order = np.argsort(gram)
+        models.append(kneser_ney(gram[order], n[order]))
+    del table
     truth = np.array([names.index(x) if x in names else -1 for x in first.column("lang").to_pylist()])
     ce = np.concatenate([cross_entropies(first.column("text").to_pylist()[i : i + 100], classes, models) for i in range(0, first.num_rows, 100)])
     slope, ceiling = _calibrate(ce[truth >= 0], truth[truth >= 0])

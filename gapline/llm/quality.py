@@ -141,10 +141,18 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", per_la
     label = np.array([v for p in parts for v in p.column("label").to_pylist()], np.float32)
     if not texts:
         return None
-    seen = tuple(np.concatenate(x) for x in zip(*(look(texts[i:j]) for i, j in _blocks(texts)), strict=True))
-    idf = lambda counts: (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = {"idf": (idf(seen[0]), idf(seen[1]), np.ones(OCCURRENCES, np.float32))}
-    x = weigh(seen, model["idf"])
+    del parts
+    # one matrix of all terms, filled and weighted in blocks in its place: the driver holds it once
+    x = np.empty((len(texts), TERMS), np.float32)
+    bags = lambda i, j: tuple(np.split(x[i:j], [BUCKETS, BUCKETS + SHAPES], axis=1))
+    within = np.zeros(TERMS, np.int64)
+    for i, j in _blocks(texts):
+        np.concatenate(look(texts[i:j]), axis=1, out=x[i:j])
+        within += (x[i:j] > 0).sum(axis=0)
+    idf = (np.log((1 + len(texts)) / (1 + within)) + 1).astype(np.float32)
+    model = {"idf": (idf[:BUCKETS], idf[BUCKETS : BUCKETS + SHAPES], np.ones(OCCURRENCES, np.float32))}
+    for i, j in _blocks(texts):
+        x[i:j] = weigh(bags(i, j), model["idf"])
     d = max(1, min(dims, len(texts)))
     probe = np.random.default_rng(5).standard_normal((TERMS, d + 16)).astype(np.float32)
     for _ in range(4):  # randomised range finder with power steps
@@ -152,7 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", per_la
     q = np.linalg.qr(x @ probe)[0]
     axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:d].T
     model["axes"] = np.ascontiguousarray(axes, np.float32)
-    model |= {"points": embed(seen, model), "label": label, "k": min(k, len(label)), "base": float(label.mean())}
+    model |= {"points": _unit(x @ model["axes"]), "label": label, "k": min(k, len(label)), "base": float(label.mean())}
     return model
 
 

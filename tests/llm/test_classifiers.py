@@ -180,3 +180,21 @@ def test_quality_corner_cases(spark, docs, tiny, clash):
     assert quality.score(df.limit(0), model).collect() == []
     twice = marks.unionByName(marks.withColumn("quality", F.lit(None).cast("int"))).unionByName(marks)
     assert quality.fit(docs, twice)["label"].tolist() == model["label"].tolist()
+
+
+def test_fit_holds_its_terms_once(spark):
+    """The driver's Python has one matrix of the labelled texts' terms, not one for each step, and the model is that of the whole matrices."""
+    import tracemalloc
+
+    rows = [(i, f"{'good plain words' if i % 2 else 'BUY!! $$$'} {i * 7919 % 1000} text {i % 13}", i % 2) for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    tracemalloc.start()
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * len(rows) * quality.TERMS * 4
+    texts = [t for v in (0, 1) for i, t, x in rows if x == v]
+    seen = quality.look(texts)
+    idf = [(np.log((1 + len(texts)) / (1 + (c > 0).sum(axis=0))) + 1).astype(np.float32) for c in seen[:2]]
+    assert all((a == b).all() for a, b in zip(idf, model["idf"], strict=False))
+    assert np.allclose(quality.embed(seen, model), model["points"], atol=1e-5)
