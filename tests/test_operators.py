@@ -442,3 +442,56 @@ def test_suggestions_leave_approved_rows(spark):
 def test_template():
     assert imports.template() == "review_id,review_text,review_rating,review_date\n"
     assert len(imports.ALIASES) == 24
+
+
+def marked_texts(spark, n=120):
+    words = ["kotor", "bersih", "mahal", "murah", "ramai", "sepi", "toilet", "parkir"]
+    rows = []
+    for i in range(n):
+        picked = [words[(i * 5 + j * j) % 8] for j in range(2 + i % 4)]
+        rows.append((i, " ".join(picked) + f" n{i % 9} n{i % 9}", int("kotor" in picked or i % 10 == 0), int("mahal" in picked)))
+    return spark.createDataFrame(rows, "id long, text string, bad int, dear int")
+
+
+def test_multilabel_is_the_least_of_the_reference_loss(spark):
+    """Same terms and weights of terms, and the same probabilities, as MLlib's stages with a regression for each label."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    df = marked_texts(spark)
+    features, models = learning.train_multilabel(df, ["bad", "dear"])
+    got = {(r.id, r.label): r.p for r in learning.label_probabilities(features, models, df, "id").collect()}
+    stages = Pipeline(stages=learning.word_features()).fit(df)
+    assert len(features["codes"]) == len(stages.stages[3].vocabulary)
+    data = stages.transform(df)
+    for x in ("bad", "dear"):
+        m = LogisticRegression(labelCol=x, regParam=1.0 / (3.0 * 120), standardization=False, maxIter=1000, tol=1e-12).fit(data.withColumn(x, F.col(x).cast("double")))
+        for r in m.transform(data).select("id", vector_to_array("probability")[1].alias("p")).collect():
+            assert abs(got[r.id, x] - r.p) < 2e-3
+
+
+def test_most_used_terms_stay(spark):
+    """Where the vocabulary is full, what stands there most often stays, however few texts have it, as in the reference's vectorizer."""
+    rows = [("rare rare rare rare rare rare",)] * 2 + [(f"often w{i % 3}",) for i in range(5)] + [("x y",)] * 5
+    df = spark.createDataFrame(rows, "text string")
+    known, codes, seen = learning._frequent_terms(df, "text", 12, 2, 0.95, 2, by="uses")
+    first, second = np.divmod(codes, len(known) + 1)
+    assert [known[i] + (f" {known[j - 1]}" if j else "") for i, j in zip(first, second, strict=True)] == ["rare", "rare rare"]
+    assert seen.tolist() == [2, 2]
+
+
+def test_labels_step_together(spark):
+    """A label more costs no pass more over the texts."""
+    df = marked_texts(spark)
+    for i in range(6):
+        df = df.withColumn(f"copy{i}", F.col("bad"))
+    sc, jobs = spark.sparkContext, []
+    for labels in (["bad"], ["bad", *[f"copy{i}" for i in range(6)]]):
+        group = f"labels-{len(labels)}"
+        sc.setJobGroup(group, group)
+        _, models = learning.train_multilabel(df, labels)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert set(models) == set(labels)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
+    assert jobs[1] <= jobs[0]
