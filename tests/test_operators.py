@@ -495,3 +495,56 @@ def test_labels_step_together(spark):
         assert set(models) == set(labels)
         jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
     assert jobs[1] <= jobs[0]
+
+
+def test_training_splits_a_text_once(spark):
+    """Words, pairs and cells all come from one reading of the texts."""
+    from pyspark.sql.types import StringType
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    df = marked_texts(spark).withColumn("text", F.udf(seen, StringType())("text"))
+    learning.train_multilabel(df, ["bad", "dear"])
+    assert read.value == 120
+
+
+def test_labels_settle_in_few_passes(spark):
+    """Terms of very different frequency, labels that single words give and next to no penalty: many small steps."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        words = [f"w{int(j)}" for j in rng.zipf(1.2, 120) if j < 3000]
+        rows.append((i, " ".join(words), int("w9" in words), int("w40" in words or "w41" in words)))
+    df = spark.createDataFrame(rows, "id long, text string, bad int, dear int")
+    sc = spark.sparkContext
+    sc.setJobGroup("passes", "passes")
+    learning.train_multilabel(df, ["bad", "dear"], c=1000.0)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("passes")) <= 88  # 99 with the curvature of the start alone
+
+
+def test_blocks_hold_all_texts(spark):
+    """More texts than a block has, a text longer than one, and empty ones: each is counted whole."""
+    from collections import Counter
+
+    texts = [f"aa b{i % 50} b{i % 7}" for i in range(6000)] + ["", None, "."] + [" ".join(f"b{i % 50}" for i in range(300_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    uses, seen = Counter(), Counter()
+    for x in texts:
+        words = (x or "").replace(".", "").split()
+        each = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        uses.update(each)
+        seen.update(set(each))
+    known, codes, counts = learning._frequent_terms(df, "text", len(texts), 2, 1.0, 50000, by="uses")
+    first, second = np.divmod(codes, len(known) + 1)
+    names = [known[i] + (f" {known[j - 1]}" if j else "") for i, j in zip(first, second, strict=True)]
+    assert dict(zip(names, counts.tolist(), strict=True)) == {x: k for x, k in seen.items() if k >= 2}
+    assert [uses[x] for x in names] == sorted((uses[x] for x in names), reverse=True)
+    rows = learning._term_counts(df, "id", "text", known, codes).collect()
+    assert sorted(r.key for r in rows) == list(range(len(texts)))
+    assert sum(sum(r.often) for r in rows) == sum(k for x, k in uses.items() if seen[x] >= 2)
+    assert {r.key for r in rows if not r.terms} == {6000, 6001, 6002}
